@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataframe.llm import langid, packing, quality
+from strataframe.llm import langid, packing, quality, rules, urls, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,8 +14,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_packing": packing.op1_packing,
         "op2_quality": quality.op2_quality,
         "op6_language_id": langid.op6_language_id,
+        "op8_quality_rules": rules.op8_quality_rules,
+        "op9_url_filter": urls.op9_url_filter,
+        "op10_warc": warc.op10_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_url_filter": urls.sql(), "op10_warc": warc.SQL}
