@@ -30,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from strataframe.llm.common import BYTE_WORDS, GOLDEN, bounded_batches, materialize, mix
@@ -81,8 +82,8 @@ def signatures(t: np.ndarray, frequent: np.ndarray, percent: int = PERCENT, long
     return np.concatenate(out)
 
 
-def sets(docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
-    """Written: row, key, text, n, digest (hi, lo) and the prefix in plain hash order."""
+def sets(docs: DataFrame, key: str, text: str, width: int, percent: int, rest: tuple[str, ...] = ()) -> DataFrame:
+    """Written: row, key, text, n, digest (hi, lo), the prefix in plain hash order, and docs' columns `rest` as a struct."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,10 +92,13 @@ def sets(docs: DataFrame, key: str, text: str, width: int, percent: int) -> Data
             digest = np.array([divmod(xxhash.xxh3_128_intdigest(t.tobytes()), 1 << 64) for t in own], np.uint64).reshape(-1, 2).view(np.int64)
             head = [t[: missing(len(t), percent) + 1].view(np.int64) for t in own]
             ends = np.r_[0, np.cumsum([len(h) for h in head])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(t) for t in own], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*head, np.zeros(0, np.int64)]), pa.int64()))], ["key", "text", "n", "hi", "lo", "head"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([len(t) for t in own], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*head, np.zeros(0, np.int64)]), pa.int64()))], ["key", "text", "rest", "n", "hi", "lo", "head"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    made = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, text string, n long, hi long, lo long, head array<long>")
+    chosen = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.struct(F.lit(True).alias("_row"), *rest).alias("rest"))
+    schema = T.StructType(list(chosen.schema.fields))
+    for c in ("n", "hi", "lo"):
+        schema = schema.add(c, "long")
+    made = chosen.mapInArrow(run, schema.add("head", T.ArrayType(T.LongType())))
     return materialize(made.withColumn("row", F.monotonically_increasing_id()), "jaccard-sets")
 
 
@@ -235,20 +239,32 @@ def links(posts: DataFrame, all_: DataFrame, width: int, percent: int) -> DataFr
     return found.unionByName(linked(seen, percent))
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, frequent: int = FREQUENT, long: int = LONG) -> DataFrame:
-    """One row per document: key, n_shingles, row (the first of its equal sets), component (a row) and component_key (the
-    smallest key of the component)."""
-    all_ = sets(docs, key, text, width, percent)
+def grouped(all_: DataFrame, width: int, percent: int, frequent: int = FREQUENT, long: int = LONG) -> DataFrame:
+    """all_: as of sets(). row, key, n, component (the first row of the component) and component_key (its smallest key)."""
     reps = materialize(all_.where("n > 0").groupBy("hi", "lo").agg(F.min("row").alias("x"), F.min("key").alias("least"), F.min("n").alias("n")), "jaccard-reps")
     posts = postings(all_, reps.select("hi", "lo", "x", "n"), bitmap(all_, frequent), width, percent, long)
     comp = components(links(posts, all_, width, percent))
     named = reps.join(comp, "x", "left").withColumn("c", F.coalesce("c", "x"))
     names = materialize(named.join(comp, "c", "left_semi").groupBy("c").agg(F.min("least").alias("name")), "jaccard-names")
-    named = named.join(names, "c", "left").select("hi", "lo", "x", "c", F.coalesce("name", "least").alias("name"))
-    rows = all_.select("key", "n", F.when(F.col("n") > 0, F.col("hi")).alias("hi"), F.col("lo"), "row").join(named, ["hi", "lo"], "left")
-    return rows.select("key", F.col("n").alias("n_shingles"), F.coalesce("x", "row").alias("row"), F.coalesce("c", "row").alias("component"), F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("key")).alias("component_key"))
+    named = named.join(names, "c", "left").select("hi", "lo", "c", F.coalesce("name", "least").alias("name"))
+    rows = all_.select("key", "n", F.when(F.col("n") > 0, F.col("hi")).alias("hi"), "lo", "row").join(named, ["hi", "lo"], "left")
+    return rows.select("row", "key", "n", F.coalesce("c", "row").alias("component"), F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("key")).alias("component_key"))
+
+
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, frequent: int = FREQUENT, long: int = LONG) -> DataFrame:
+    """One row per document: row (a number of its own), key, n (its tokens), component and component_key."""
+    return grouped(sets(docs, key, text, width, percent), width, percent, frequent, long)
+
+
+def distinct(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one document of each component left, the first of those with the smallest key; all columns stay."""
+    all_ = sets(docs, key, text, width, percent, tuple(c for c in docs.columns if c != text))
+    groups = materialize(grouped(all_, width, percent).select("row", "key", "component"), "jaccard-groups")
+    first = groups.groupBy("component").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "row")).alias("first"))
+    gone = few(materialize(groups.join(first, "component").where("row <> first.row").select("row"), "jaccard-gone"))
+    return all_.join(gone, "row", "left_anti").select(*(F.col("text").alias(c) if c == text else F.col("rest")[c].alias(c) for c in docs.columns))
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select(F.col("key").alias("doc_id"), "n_shingles", F.col("component_key").alias("component_id"))
+    return out.select(F.col("key").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component_key").alias("component_id"))
