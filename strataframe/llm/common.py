@@ -72,8 +72,9 @@ class Memo(dict):
         self.limit = limit
 
     def missing(self, keys: Iterable) -> list:
-        new = list(set(keys).difference(self))
+        keys = set(keys)
+        new = keys.difference(self)
         if len(self) + len(new) > self.limit:
             self.clear()
-            new = list(set(keys))
-        return new
+            new = keys
+        return list(new)

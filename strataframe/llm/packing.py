@@ -15,6 +15,9 @@ one row each; an empty table gives no pieces; only the named columns are read.
 from __future__ import annotations
 
 import bisect
+import json
+import re
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -30,25 +33,79 @@ from strataframe.llm.common import BYTE_WORDS, Memo, bounded_batches, materializ
 WINDOW, END_ID = 4096, 2
 #: The table of rank offsets is broadcast up to this many bytes and joined by shuffle beyond.
 BROADCAST_BYTES = 32 << 20
-_memo = Memo()
+_words, _parts = Memo(400_000), Memo(600_000)
 _tokenizer: dict = {}
 
 
-def word_ids(words: list[bytes], path: str) -> Memo:
-    """The memo with the ids (as '<u2' bytes) of all of words. Tokenisation by white-space word is exact
-    for this vocabulary: its normaliser and its pattern never look across white space."""
-    if path not in _tokenizer:
+def latin_split():
+    """The vocabulary's pattern for lower-case Latin-1 text, where each class is a list of characters."""
+    by = {"L": "", "N": "", "": ""}
+    for c in map(chr, range(256)):
+        if c not in "\t\n\v\f\r \x85\xa0":
+            kind = unicodedata.category(c)[0]
+            by[kind if kind in "LN" else ""] += re.escape(c)
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{by['L']}]+|[{by['N']}]|[{by['']}]+").findall
+
+
+class Parts:
+    """The ids of the word-end BPE. Its pattern splits a text into parts that are encoded one by one and kept in a
+    memo; many new parts are encoded as one text, as each one's last id is known by its word end. Text beyond
+    Latin-1, or with marks of special tokens, goes word by word: the normaliser and the pattern never look across white space."""
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        _tokenizer.clear()
-        _memo.clear()
-        _tokenizer[path] = Tokenizer.from_file(path)
-    new = _memo.missing(words)
-    for at in range(0, len(new), 4096):
-        part = new[at : at + 4096]
-        for word, e in zip(part, _tokenizer[path].encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-            _memo[word] = np.array(e.ids, "<u2").tobytes()
-    return _memo
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path) as f:
+            form = json.load(f)
+        self.split = latin_split()
+        end = form["model"]["end_of_word_suffix"]
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for t, i in form["model"]["vocab"].items() if t.endswith(end)]] = True
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+
+    def fill(self, new: list[str]) -> None:
+        for at in range(0, len(new), 1024):
+            some = new[at : at + 1024]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u2")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(some):
+                raw, stops = ids.tobytes(), (stops * 2).tolist()
+                _parts.update((p, raw[i:j]) for p, i, j in zip(some, [0, *stops[:-1]], stops, strict=True))
+            else:
+                _parts.update((p, self.whole(p)) for p in some)
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as '<u2' bytes."""
+        parts, words, new = [], {}, set()
+        for i, text in enumerate(texts):
+            try:
+                text.encode("latin-1")
+                plain = "<|" not in text
+            except UnicodeEncodeError:
+                plain = False
+            if plain:
+                parts.append(self.split(text.lower()))
+                new.update(parts[-1])
+            else:
+                parts.append([])
+                words[i] = BYTE_WORDS.findall(text.encode())
+        self.fill(_parts.missing(new))
+        out = [b"".join(map(_parts.__getitem__, p)) for p in parts]
+        _words.update((w, self.whole(w.decode())) for w in _words.missing(w for ws in words.values() for w in ws))
+        for i, ws in words.items():
+            out[i] = b"".join(map(_words.__getitem__, ws))
+        return out
+
+
+def parts_of(path: str) -> Parts:
+    if path not in _tokenizer:
+        for x in (_tokenizer, _words, _parts):
+            x.clear()
+        _tokenizer[path] = Parts(path)
+    return _tokenizer[path]
 
 
 def grid(window: int) -> int:
@@ -68,11 +125,10 @@ def tokenize(docs: DataFrame, key: str, text: str, path: str, window: int = WIND
     end = np.array([end_id], "<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = parts_of(path)
         part, rank, full = TaskContext.get().partitionId(), defaultdict(int), 0
         for batch in batches:
-            words = [BYTE_WORDS.findall((t or "").encode()) for t in batch.column(1).to_pylist()]
-            memo = word_ids([w for ws in words for w in ws], path)
-            ids = [b"".join([memo[w] for w in ws]) + end for ws in words]
+            ids = [x + end for x in coder.ids([t or "" for t in batch.column(1).to_pylist()])]
             n, bins, ranks, fulls = [len(x) // 2 for x in ids], [], [], []
             for x in n:
                 fulls.append(full)
