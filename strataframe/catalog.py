@@ -1,24 +1,316 @@
-"""The registered queries of the key-value engine and their SQL."""
+"""The registered queries of the key-value engine and their SQL.
+
+The driver's tables stand for stores: `events` is a change log (key user_id, order event_id, a tombstone where event_type is
+'error'), `customer` a store by name, `orders` a layered one (key o_custkey, layer o_orderkey % 4, the highest newest).
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataframe.functions import scalars
+from strataframe.model import Options, Tombstones
+from strataframe.operators import integrity, resolve, stats
+from strataframe.plans.layered import LayeredStore
+from strataframe.plans.logstore import LogStore
+from strataframe.plans.shared import shared_path
+from strataframe.streaming.ingest import ingest, latest_state
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+DEAD = "event_type = 'error'"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").withColumn("tombstone", F.expr(DEAD))
+
+
+def changelog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as bytes, as stores take them."""
+    ev = events(spark, sf_dir)
+    return ev.select(F.encode(F.col("user_id").cast("string"), "UTF-8").alias("key"), F.col("event_id").alias("seq"), "tombstone", F.when(~F.col("tombstone"), F.encode("props", "UTF-8")).alias("value"))
+
+
+def text(key: str = "key", value: str = "value") -> list[Column]:
+    return [F.decode(key, "UTF-8").cast("long").alias("user_id"), F.decode(value, "UTF-8").alias("props")]
+
+
+NEWEST = "SELECT user_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value, arg_max(props, event_id) AS props, max(event_id) AS event_id FROM events GROUP BY user_id"
+LIVE_PROPS = f"SELECT user_id, props FROM ({NEWEST}) WHERE NOT ({DEAD})"
+
+
+@query(f"SELECT user_id, value FROM ({NEWEST}) WHERE NOT ({DEAD})")
+def lww_live(spark, sf_dir):
+    return resolve.latest(events(spark, sf_dir), "user_id", "event_id").select("user_id", "value")
+
+
+@query(f"SELECT user_id, event_id, {DEAD} AS tombstone FROM ({NEWEST})")
+def lww_emit(spark, sf_dir):
+    return resolve.latest(events(spark, sf_dir), "user_id", "event_id", mode=Tombstones.EMIT).select("user_id", "event_id", "tombstone")
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_name = 'Customer#000000042'")
+def point_get(spark, sf_dir):
+    store = table(spark, sf_dir, "customer").withColumn("tombstone", F.lit(False))
+    return resolve.point(store, "Customer#000000042", "c_name", "c_custkey").select("c_custkey", "c_name", "c_acctbal")
+
+
+@query(f"SELECT user_id, value FROM ({NEWEST}) WHERE user_id = 7 AND NOT ({DEAD})")
+def point_get_resolved(spark, sf_dir):
+    return resolve.point(events(spark, sf_dir), 7, "user_id", "event_id").select("user_id", "value")
+
+
+@query(f"""SELECT k.user_id, CASE WHEN n.user_id IS NULL THEN 'NotFound' ELSE 'OK' END AS status, n.value
+FROM (SELECT DISTINCT o_custkey AS user_id FROM orders) k LEFT JOIN (SELECT * FROM ({NEWEST}) WHERE NOT ({DEAD})) n USING (user_id)""")
+def multi_get_status(spark, sf_dir):
+    keys = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id")).distinct()
+    return resolve.multi_get(lww_live(spark, sf_dir), keys, "user_id").select("user_id", "status", "value")
+
+
+@query("SELECT c_name, c_custkey FROM customer WHERE c_name >= 'Customer#000000100' AND c_name < 'Customer#000000200' ORDER BY c_name")
+def range_scan(spark, sf_dir):
+    store = table(spark, sf_dir, "customer").withColumn("tombstone", F.lit(False))
+    return resolve.scan(store, "Customer#000000100", "Customer#000000200", "c_name", "c_custkey").select("c_name", "c_custkey")
+
+
+@query("SELECT c_name, c_custkey FROM customer WHERE false")
+def empty_range(spark, sf_dir):
+    store = table(spark, sf_dir, "customer").withColumn("tombstone", F.lit(False))
+    return resolve.scan(store, "Xray", "Zulu", "c_name", "c_custkey").select("c_name", "c_custkey")
+
+
+@query("""SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 4 DESC, o_orderkey DESC) AS r FROM orders)
+WHERE r = 1 AND o_orderstatus <> 'F'""")
+def layered_merge(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").withColumn("tombstone", F.col("o_orderstatus") == "F")
+    layers = [resolve.latest(orders.where(F.col("o_orderkey") % 4 == k), "o_custkey", "o_orderkey", mode=Tombstones.EMIT) for k in (3, 2, 1, 0)]
+    return resolve.layered(layers, "o_custkey").select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+@query("""SELECT k.o_custkey, CASE WHEN l.o_custkey IS NULL THEN 'NotPresent' WHEN s = 'F' THEN 'Deleted' ELSE 'Found' END AS lookup
+FROM (SELECT DISTINCT o_custkey FROM orders) k LEFT JOIN (SELECT o_custkey, arg_max(o_orderstatus, o_orderkey) AS s FROM orders WHERE o_orderkey % 4 = 3 GROUP BY o_custkey) l USING (o_custkey)""")
+def layer_lookup(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").withColumn("tombstone", F.col("o_orderstatus") == "F")
+    layer = resolve.latest(orders.where(F.col("o_orderkey") % 4 == 3), "o_custkey", "o_orderkey", mode=Tombstones.EMIT)
+    return resolve.lookup(layer, orders.select("o_custkey").distinct(), "o_custkey").select("o_custkey", "lookup")
+
+
+@query(f"SELECT user_id, value FROM ({NEWEST.replace('FROM events', 'FROM (SELECT * FROM events WHERE event_id <= 400)')}) WHERE NOT ({DEAD})")
+def snapshot_read(spark, sf_dir):
+    return resolve.latest(resolve.as_of(events(spark, sf_dir), 400, "event_id"), "user_id", "event_id").select("user_id", "value")
+
+
+@query(f"""SELECT event_id // 256 AS file_id, CAST(sum(CASE WHEN nxt IS NOT NULL OR {DEAD} THEN size ELSE 0 END) AS BIGINT) AS dead_bytes, CAST(sum(size) AS BIGINT) AS total_bytes FROM
+(SELECT *, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS nxt, 21 + length(CAST(user_id AS VARCHAR)) + CASE WHEN {DEAD} THEN 0 ELSE length(props) END AS size FROM events) GROUP BY 1""")
+def dead_bytes(spark, sf_dir):
+    size = stats.size_of(stats.RECORD_HEADER, F.col("user_id").cast("string"), F.when(~F.col("tombstone"), F.col("props")))
+    return stats.reclaimable(events(spark, sf_dir), F.floor(F.col("event_id") / 256), size, "user_id", "event_id")
+
+
+@query(f"SELECT count(*) AS entries, CAST(sum(64 + length(CAST(user_id AS VARCHAR)) + CASE WHEN {DEAD} THEN 0 ELSE length(props) END) AS BIGINT) AS approximate_bytes FROM ({NEWEST})")
+def memtable_bytes(spark, sf_dir):
+    return stats.memtable_size(events(spark, sf_dir), "user_id", "props", "event_id")
+
+
+def as_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest-like rows over orders: level o_custkey % 3, table by ranges of order keys."""
+    orders = table(spark, sf_dir, "orders")
+    return orders.groupBy((F.col("o_custkey") % 3).cast("int").alias("level"), F.floor(F.col("o_orderkey") / 500).alias("slot")).agg(F.count("*").alias("entry_count"), F.sum(F.lit(9) + F.length("o_orderpriority")).alias("file_size"), F.min("o_orderkey").alias("min_key"), F.max("o_orderkey").alias("max_key")).withColumn("table_id", F.col("slot") * 3 + F.col("level"))
+
+
+TABLES = "SELECT CAST(o_custkey % 3 AS INT) AS level, o_orderkey // 500 AS slot, count(*) AS entry_count, CAST(sum(9 + length(o_orderpriority)) AS BIGINT) AS file_size, min(o_orderkey) AS min_key, max(o_orderkey) AS max_key, (o_orderkey // 500) * 3 + o_custkey % 3 AS table_id FROM orders GROUP BY o_custkey % 3, o_orderkey // 500"
+
+
+@query(f"SELECT level, count(*) AS tables, CAST(sum(file_size) AS BIGINT) AS bytes, CAST(sum(entry_count) AS BIGINT) AS entries, min(min_key) AS min_key, max(max_key) AS max_key FROM ({TABLES}) GROUP BY level")
+def level_stats(spark, sf_dir):
+    return stats.levels(as_tables(spark, sf_dir))
+
+
+@query(f"WITH t AS ({TABLES}) SELECT u.table_id AS upper, d.table_id AS lower FROM t u JOIN t d ON u.level + 1 = d.level AND NOT (u.max_key < d.min_key OR d.max_key < u.min_key)")
+def overlap_pairs(spark, sf_dir):
+    return integrity.overlap_pairs(as_tables(spark, sf_dir))
+
+
+@query(f"SELECT level, table_id, coalesce(max(max_key) OVER (PARTITION BY level ORDER BY min_key, table_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < min_key, true) AS disjoint FROM ({TABLES})")
+def disjoint_check(spark, sf_dir):
+    return integrity.disjoint(as_tables(spark, sf_dir)).select("level", "table_id", "disjoint")
+
+
+@query(f"WITH t AS ({TABLES}) SELECT l.l_orderkey, t.table_id FROM (SELECT DISTINCT l_orderkey FROM lineitem) l LEFT JOIN t ON t.level = 1 AND l.l_orderkey BETWEEN t.min_key AND t.max_key")
+def candidate_table(spark, sf_dir):
+    keys = table(spark, sf_dir, "lineitem").select("l_orderkey").distinct()
+    level = as_tables(spark, sf_dir).where("level = 1").select("table_id", "min_key", "max_key")
+    return integrity.candidate_table(keys, level, "l_orderkey").select("l_orderkey", "table_id")
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def orphan_sweep(spark, sf_dir):
+    return integrity.orphans(table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")
+
+
+@query(f"WITH t AS ({TABLES}) SELECT table_id FROM t WHERE entry_count % 2 = 1 OR slot = 1")
+def manifest_agreement(spark, sf_dir):
+    tables = as_tables(spark, sf_dir)
+    files = tables.where("slot <> 1").withColumn("entry_count", F.col("entry_count") - F.col("entry_count") % 2)
+    return integrity.disagreements(files, tables)
+
+
+@query(f"SELECT event_id FROM events e WHERE EXISTS (SELECT 1 FROM ({NEWEST}) n WHERE n.user_id = e.user_id AND n.event_id = e.event_id AND NOT ({DEAD.replace('event_type', 'n.event_type')}))")
+def live_semi(spark, sf_dir):
+    ev = events(spark, sf_dir)
+    index = resolve.latest(ev, "user_id", "event_id")
+    return integrity.live_records(ev, index, ("user_id", "event_id")).select("event_id")
+
+
+@query("WITH r AS (SELECT o_totalprice AS v, row_number() OVER (ORDER BY o_totalprice) AS i, count(*) OVER () AS n FROM orders) SELECT max(v) FILTER (i = CAST(floor(0.5 * (n - 1)) AS BIGINT) + 1) AS p50, max(v) FILTER (i = CAST(floor(0.99 * (n - 1)) AS BIGINT) + 1) AS p99, max(v) FILTER (i = CAST(floor(0.999 * (n - 1)) AS BIGINT) + 1) AS p999 FROM r")
+def nearest_rank_pctl(spark, sf_dir):
+    return stats.percentiles(table(spark, sf_dir, "orders"), "o_totalprice", (0.5, 0.99, 0.999))
+
+
+@query("SELECT o_orderstatus, median(o_totalprice) AS median FROM orders GROUP BY o_orderstatus")
+def median_price(spark, sf_dir):
+    return stats.median(table(spark, sf_dir, "orders"), "o_totalprice", ["o_orderstatus"])
+
+
+@query(f"WITH t AS ({TABLES}) SELECT DISTINCT l_orderkey FROM lineitem WHERE l_linestatus = 'F' AND NOT EXISTS (SELECT 1 FROM t WHERE level = 2 AND l_orderkey BETWEEN min_key AND max_key)")
+def tombstone_droppable(spark, sf_dir):
+    keys = table(spark, sf_dir, "lineitem").where("l_linestatus = 'F'").select("l_orderkey").distinct()
+    return integrity.droppable(keys, as_tables(spark, sf_dir).where("level = 2"), "l_orderkey")
+
+
+NAMES = "CASE o_orderkey % 6 WHEN 0 THEN lpad(CAST(o_orderkey AS VARCHAR), 6, '0') || '.log' WHEN 1 THEN CAST(o_orderkey AS VARCHAR) || '.sst.tmp' WHEN 2 THEN 'MANIFEST' WHEN 3 THEN '0.wal' WHEN 4 THEN '4294967296.hint' ELSE 'x' || CAST(o_orderkey AS VARCHAR) || '.log' END"
+
+
+@query(f"""SELECT o_orderkey, CASE WHEN own THEN CAST(digits AS BIGINT) END AS id, CASE WHEN own THEN regexp_extract(name, '\\.(log|hint|sst|wal)', 1) WHEN mani THEN 'manifest' END AS kind, CASE WHEN own OR mani THEN ends_with(name, '.tmp') END AS temporary FROM
+(SELECT *, regexp_matches(name, '^MANIFEST(\\.tmp)?$') AS mani, coalesce(TRY_CAST(nullif(digits, '') AS BIGINT) BETWEEN 1 AND 4294967295, false) AS own FROM (SELECT o_orderkey, name, regexp_extract(name, '^(\\d+)\\.(log|hint|sst|wal)(\\.tmp)?$', 1) AS digits FROM (SELECT o_orderkey, {NAMES} AS name FROM orders)))""")
+def file_name_parse(spark, sf_dir):
+    names = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(NAMES.replace("VARCHAR", "STRING")).alias("name"))
+    return names.withColumn("f", integrity.file_name(F.col("name"))).select("o_orderkey", "f.id", "f.kind", "f.temporary")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey < 1000000 THEN lpad(CAST(o_orderkey AS VARCHAR), 6, '0') ELSE CAST(o_orderkey AS VARCHAR) END || '.sst' AS name, printf('key_%012d', o_orderkey * 2) AS present, printf('key_%012d', o_orderkey * 2 + 1) AS absent FROM orders")
+def key_names(spark, sf_dir):
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select("o_orderkey", scalars.file_name_column(k, "sst").alias("name"), scalars.present_key(k).alias("present"), scalars.absent_key(k).alias("absent"))
+
+
+@query("SELECT DISTINCT l_orderkey % 7 AS file_id FROM lineitem WHERE l_orderkey % 7 IN (2, 5)")
+def increasing_keys(spark, sf_dir):
+    items = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 7).alias("file_id"), "l_orderkey").distinct()
+    place = F.when(F.col("file_id").isin(2, 5), -F.col("l_orderkey")).otherwise(F.col("l_orderkey"))
+    return integrity.increasing(items.withColumn("place", place), "file_id", "l_orderkey")
+
+
+@query("""WITH r AS (SELECT event_id // 512 AS file_id, event_id % 512 AS place, event_id, event_id % 512 <> 300 AS ok FROM events), b AS (SELECT file_id, min(place) FILTER (NOT ok) AS bad FROM r GROUP BY file_id)
+SELECT event_id FROM r JOIN b USING (file_id) WHERE bad IS NULL OR place < bad""")
+def valid_prefix(spark, sf_dir):
+    ev = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 512).alias("file_id"), (F.col("event_id") % 512).alias("offset"), "event_id")
+    return integrity.valid_prefix(ev.withColumn("ok", F.col("offset") != 300)).select("event_id")
+
+
+@query(f"SELECT user_id, event_id FROM ({NEWEST}) EXCEPT SELECT user_id, event_id FROM ({NEWEST.replace('FROM events', 'FROM (SELECT * FROM events WHERE event_id <= 400)')})")
+def index_difference(spark, sf_dir):
+    now = lww_emit(spark, sf_dir).select("user_id", "event_id")
+    then = resolve.latest(resolve.as_of(events(spark, sf_dir), 400, "event_id"), "user_id", "event_id", mode=Tombstones.EMIT).select("user_id", "event_id")
+    return now.exceptAll(then)
+
+
+@query(f"SELECT user_id, value FROM ({NEWEST}) WHERE NOT ({DEAD})")
+def streaming_lww(spark, sf_dir):
+    """The latest state of the events as a stream, taken when all of them have arrived."""
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+    state = latest_state(stream, "user_id", "event_id", F.expr(DEAD), ["value"])
+    out = shared_path(spark, "streaming-lww")
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/state")
+
+    state.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/state")
+
+
+@query(LIVE_PROPS)
+def layered_store(spark, sf_dir):
+    """Four batches into a layered store, compaction on the way, and a scan."""
+    log = changelog(spark, sf_dir)
+    store = LayeredStore(spark, shared_path(spark, "layered-store"), Options(l0_trigger=3))
+    for k in range(4):
+        store.apply(log.where(batch_of(k)), k)
+        store.maintain()
+    return store.resolved().select(*text())
+
+
+def batch_of(k: int) -> Column:
+    """Batches in the order of writes; the last is open-ended."""
+    return (F.col("seq") >= 250 * k) & (F.col("seq") < 250 * (k + 1) if k < 3 else F.lit(True))
+
+
+@query(LIVE_PROPS)
+def log_store(spark, sf_dir):
+    """Four appends into a log store, compaction, and its live keys."""
+    log = changelog(spark, sf_dir)
+    store = LogStore(spark, shared_path(spark, "log-store"))
+    for k in range(4):
+        store.append(log.where(batch_of(k)))
+    store.compact()
+    return store.live().select(*text())
+
+
+@query(LIVE_PROPS)
+def stream_ingest(spark, sf_dir):
+    """The events as a stream into a layered store."""
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*").withColumn("tombstone", F.expr(DEAD))
+    stream = stream.select(F.encode(F.col("user_id").cast("string"), "UTF-8").alias("key"), F.col("event_id").alias("seq"), "tombstone", F.when(~F.col("tombstone"), F.encode("props", "UTF-8")).alias("value"))
+    store = LayeredStore(spark, shared_path(spark, "stream-store"))
+    ingest(stream, store, shared_path(spark, "stream-checkpoint")).awaitTermination()
+    return store.resolved().select(*text())
+
+
+@query(f"""SELECT CAST(count(*) AS BIGINT) AS log_records, CAST(count(DISTINCT user_id) FILTER (user_id IN (SELECT user_id FROM ({LIVE_PROPS}))) AS BIGINT) AS live_keys,
+round(sum(21 + length(CAST(user_id AS VARCHAR)) + CASE WHEN {DEAD} THEN 0 ELSE length(props) END) / (SELECT sum(21 + length(CAST(user_id AS VARCHAR)) + length(props)) FROM ({LIVE_PROPS})), 6) AS space_amplification FROM events""")
+def space_amplification(spark, sf_dir):
+    ev = events(spark, sf_dir)
+    size = stats.size_of(stats.RECORD_HEADER, F.col("user_id").cast("string"), F.when(~F.col("tombstone"), F.col("props")))
+    live = resolve.latest(ev, "user_id", "event_id").agg(F.count("*").alias("live_keys"), F.sum(size).alias("live"))
+    return ev.agg(F.count("*").alias("log_records"), F.sum(size).alias("all")).crossJoin(live).select("log_records", "live_keys", F.round(F.col("all") / F.col("live"), 6).alias("space_amplification"))
+
+
+@query()
+def crc_check(spark, sf_dir):
+    """Checksums of the values; DuckDB has no crc32."""
+    ev = table(spark, sf_dir, "events").select("event_id", F.crc32("props").alias("crc"), "props")
+    return ev.select("event_id", "crc", integrity.crc_ok(F.col("props"), F.col("crc")).alias("ok"))
+
 
-def lww_live(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
-    newest = ev.groupBy("user_id").agg(F.max_by(F.struct("event_type", "value"), "event_id").alias("s"))
-    return newest.where("s.event_type <> 'error'").select("user_id", F.col("s.value").alias("value"))
+@query()
+def fnv_hashes(spark, sf_dir):
+    """The 64-bit hash that filters use, of the keys; beyond DuckDB's arithmetic."""
+    return changelog(spark, sf_dir).select(F.decode("key", "UTF-8").alias("key")).distinct().select("key", scalars.fnv1a_column(F.encode("key", "UTF-8")).alias("hash"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"lww_live": lww_live}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "lww_live": """SELECT user_id, v AS value FROM (SELECT user_id, arg_max(event_type, event_id) t, arg_max(value, event_id) v FROM events GROUP BY user_id) WHERE t <> 'error'"""
-    }
+    return dict(SQL)
