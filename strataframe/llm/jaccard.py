@@ -2,19 +2,20 @@
 
 A document is the set of its distinct word shingles ("tokens"). Two sets with intersection >= t * union
 miss at most e = (1 - t) * n of the n tokens of either, so in any common order of all tokens the first ones
-(the prefixes) must share something. Tokens that many prefixes hold are frequent, all others rare; rare
-ones come first. A prefix is extended until its rare tokens and, less one, its frequent tokens are more than e: then
+(the prefixes) must share something. Tokens of one prefix come first, then those of a few, then those of FREQUENT or more. A
+prefix is extended until its rare tokens and, less one, its frequent tokens are more than e: then
 linked sets share a rare token or a pair of frequent tokens, and those are indexed. From LONG tokens on, sets
 also index frequent tokens singly instead of in pairs, whose number grows with the square of e; sets just
 below LONG do both, as they may link with longer ones. Every candidate is verified exactly.
 
-Equal sets are one node. Of the nodes that share a signature, all are compared with one hub; components of
-the links found leave few signatures whose nodes are in several components. Large ones get new hubs for some
-rounds, and the pairs that remain are compared, but for those that the triangle inequality of the
-Jaccard distance rules out. So nothing is lost, and a large group of near copies costs one comparison each.
+Equal sets are one node. Of the nodes that share a signature, all are compared with one hub, and the links found
+make components. Nodes of a signature that are then in several components are compared in blocks of at most BLOCK, by
+their counts of tokens in BUCKETS ranges of the hash: the sum of the smaller counts is the most that two sets can share,
+and only pairs that could link leave the block to be verified. So nothing is lost, and neither a large group of near copies nor a
+passage that many share turns into pairs.
 
-Frequency affects cost, never results: frequent tokens are a bitmap of CELLS bits, of a fixed size, over counts of
-all documents. Candidates, links and components stay in Spark; hubs with many partners are dealt to several tasks.
+Frequency affects cost, never results: the classes are two bitmaps over counts of all documents, eight bits for each
+token that two prefixes share, MOST_CELLS bits at most. Candidates, links and components stay in Spark; hubs with many partners are dealt to several tasks.
 
 Defined results: null or wordless text is linked with nothing and has no shingles; fewer words than the width
 make one shingle; a null key is a row whose component takes the smallest other key, or null; repeated rows are
@@ -26,6 +27,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -36,10 +38,10 @@ from pyspark.sql.window import Window
 from strataframe.llm.common import BYTE_WORDS, GOLDEN, bounded_batches, materialize, mix
 
 WIDTH, PERCENT = 3, 90
-#: Bits of the map of frequent tokens, prefixes that make a token frequent, tokens from which sets index singly.
-CELLS, FREQUENT, LONG = 1 << 22, 8, 640
-#: Nodes of a signature above which it gets another hub, rounds of that, comparisons with a hub in one task.
-CROWD, ROUNDS, PER_TASK = 48, 6, 128
+#: Prefixes that make a token frequent, tokens from which sets index singly, comparisons with a hub in one task.
+FREQUENT, LONG, PER_TASK = 8, 640, 128
+#: Bits of a bitmap at most, and of a part of it; rows of a block; hash ranges of a sketch.
+MOST_CELLS, PART, BLOCK, BUCKETS = 1 << 27, 1 << 15, 1024, 64
 BROADCAST_ROWS = 500_000
 
 
@@ -62,13 +64,28 @@ def missing(n, percent: int = PERCENT):
     return n * (100 - percent) // 100
 
 
-def signatures(t: np.ndarray, frequent: np.ndarray, percent: int = PERCENT, long: int = LONG) -> np.ndarray:
-    """What a set of sorted tokens is indexed by; frequent: the bitmap."""
+def sketch(t: np.ndarray) -> np.ndarray:
+    return np.bincount((t >> np.uint64(58)).astype(np.int64), minlength=BUCKETS).astype("<u4")
+
+
+class Classes:
+    """Two bitmaps over the last bits of tokens: of those that two or more prefixes hold, and of the frequent ones."""
+
+    def __init__(self, shared: np.ndarray, frequent: np.ndarray):
+        self.shared, self.frequent = shared, frequent
+
+    def __call__(self, t: np.ndarray) -> np.ndarray:
+        cell = (t & np.uint64(8 * len(self.shared) - 1)).astype(np.int64)
+        bit = (1 << (cell & 7)).astype(np.uint8)
+        return (self.shared[cell >> 3] & bit > 0).astype(np.int8) + (self.frequent[cell >> 3] & bit > 0)
+
+
+def signatures(t: np.ndarray, classes: Classes, percent: int = PERCENT, long: int = LONG) -> np.ndarray:
+    """What a set of sorted tokens is indexed by."""
     n = len(t)
     e = missing(n, percent)
-    cell = t % np.uint64(CELLS)
-    often = (frequent[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 > 0
-    rare, common = t[~often], t[often]
+    kind = classes(t)
+    rare, common = np.concatenate([t[kind == 0], t[kind == 1]]), t[kind == 2]
     out = [rare[: e + 1]]
     need = e + 1 - len(rare)
     if need > 0:
@@ -83,7 +100,7 @@ def signatures(t: np.ndarray, frequent: np.ndarray, percent: int = PERCENT, long
 
 
 def sets(docs: DataFrame, key: str, text: str, width: int, percent: int, rest: tuple[str, ...] = ()) -> DataFrame:
-    """Written: row, key, text, n, digest (hi, lo), the prefix in plain hash order, and docs' columns `rest` as a struct."""
+    """Written: row, key, text, n, digest (hi, lo), sketch, the prefix in plain hash order, and docs' columns `rest` as a struct."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,27 +109,39 @@ def sets(docs: DataFrame, key: str, text: str, width: int, percent: int, rest: t
             digest = np.array([divmod(xxhash.xxh3_128_intdigest(t.tobytes()), 1 << 64) for t in own], np.uint64).reshape(-1, 2).view(np.int64)
             head = [t[: missing(len(t), percent) + 1].view(np.int64) for t in own]
             ends = np.r_[0, np.cumsum([len(h) for h in head])]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([len(t) for t in own], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*head, np.zeros(0, np.int64)]), pa.int64()))], ["key", "text", "rest", "n", "hi", "lo", "head"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([len(t) for t in own], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array([sketch(t).tobytes() for t in own], pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*head, np.zeros(0, np.int64)]), pa.int64()))], ["key", "text", "rest", "n", "hi", "lo", "sketch", "head"])
 
     chosen = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.struct(F.lit(True).alias("_row"), *rest).alias("rest"))
     schema = T.StructType(list(chosen.schema.fields))
     for c in ("n", "hi", "lo"):
         schema = schema.add(c, "long")
-    made = chosen.mapInArrow(run, schema.add("head", T.ArrayType(T.LongType())))
+    made = chosen.mapInArrow(run, schema.add("sketch", "binary").add("head", T.ArrayType(T.LongType())))
     return materialize(made.withColumn("row", F.monotonically_increasing_id()), "jaccard-sets")
 
 
-def bitmap(all_: DataFrame, frequent: int = FREQUENT) -> np.ndarray:
-    """CELLS bits, set where a token in `frequent` or more prefixes falls; at most CELLS / 32 rows reach the driver."""
-    often = all_.select(F.explode("head").alias("t")).groupBy("t").count().where(F.col("count") >= frequent)
-    cell = F.col("t").bitwiseAND(F.lit(CELLS - 1))
-    words = often.groupBy(F.shiftright(cell, 5).alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, int(t & {31})))").alias("b")).toPandas()
-    out = np.zeros(CELLS // 32, "<u4")
-    out[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).astype("<u4")
-    return out.view(np.uint8)
+def classify(all_: DataFrame, frequent: int = FREQUENT) -> Classes:
+    """Counts the prefixes' tokens; at most MOST_CELLS / PART rows of two bitmaps' parts reach the driver."""
+    shared = all_.select(F.explode("head").alias("t")).groupBy("t").count().where("count > 1")
+    shared = materialize(shared.select("t", (F.col("count") >= frequent).alias("often")), "jaccard-shared")
+    cells = min(MOST_CELLS, max(1 << 20, 1 << (8 * shared.count()).bit_length()))
+    cell = F.col("t").bitwiseAND(F.lit(cells - 1))
 
+    def part(pdf: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros((2, PART), bool)
+        at = pdf["cell"].to_numpy() & (PART - 1)
+        bits[0, at] = True
+        bits[1, at[pdf["often"].to_numpy()]] = True
+        one, two = np.packbits(bits, axis=1, bitorder="little")
+        return pd.DataFrame([(pdf["cell"].iat[0] // PART, one.tobytes(), two.tobytes())], columns=["part", "one", "two"])
 
-def postings(all_: DataFrame, reps: DataFrame, frequent: np.ndarray, width: int, percent: int, long: int) -> DataFrame:
+    cut = shared.groupBy(cell.alias("cell")).agg(F.max("often").alias("often"))
+    maps = np.zeros((2, cells // PART, PART // 8), np.uint8)
+    for r in cut.groupBy(F.expr(f"cell div {PART}").alias("p")).applyInPandas(part, "part long, one binary, two binary").collect():
+        maps[0, r.part], maps[1, r.part] = np.frombuffer(r.one, np.uint8), np.frombuffer(r.two, np.uint8)
+    return Classes(maps[0].ravel(), maps[1].ravel())
+
+
+def postings(all_: DataFrame, reps: DataFrame, classes: Classes, width: int, percent: int, long: int) -> DataFrame:
     """Written: (sig, x, n) for each signature that two or more nodes share; x: the node's row."""
     bounded_batches(all_.sparkSession)
 
@@ -126,7 +155,7 @@ def postings(all_: DataFrame, reps: DataFrame, frequent: np.ndarray, width: int,
                     if len(seen) >= 200_000:
                         seen.clear()
                     seen.add(node)
-                    s = signatures(tokens(text, width), frequent, percent, long)
+                    s = signatures(tokens(text, width), classes, percent, long)
                     rows.append((i, len(s)))
                     sigs.append(s)
             at = np.repeat(*np.array(rows, np.int64).reshape(-1, 2).T)
@@ -201,48 +230,91 @@ def linked(verified: DataFrame, percent: int) -> DataFrame:
     return verified.where(F.col("both") * 100 >= F.col("either") * percent).select("a", "b")
 
 
-def near(n: str, m: str, percent: int):
-    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
+def could(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of sketches (along all but the last axis) may be of linked sets."""
+    most = np.minimum(a, b).sum(axis=-1, dtype=np.int64)
+    return most * 100 >= percent * (a.sum(axis=-1, dtype=np.int64) + b.sum(axis=-1, dtype=np.int64) - most)
+
+
+def sketched(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, BUCKETS).astype(np.int32)
+
+
+def likely(pairs: DataFrame, all_: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs (a, b) that could link."""
+    bounded_batches(all_.sparkSession, 4096)
+    side = lambda c: all_.select(F.col("row").alias(c), F.col("sketch").alias(f"{c}_sketch"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = pa.array(could(sketched(batch.column(2)), sketched(batch.column(3)), percent))
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in batch.columns[:2]], ["a", "b"])
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_sketch", "b_sketch").mapInArrow(run, "a long, b long")
+
+
+def between(rest: DataFrame, all_: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """rest: (sig, x, c, size). Pairs (a, b) of nodes that share a signature, are in different components c and could link.
+    A signature of more than `block` nodes is cut into parts, and each two parts meet in a task of their own."""
+    bounded_batches(all_.sparkSession, 2048)
+    parts = F.ceil(F.col("size") / block).cast("int")
+    rows = rest.join(all_.select(F.col("row").alias("x"), "sketch"), "x").withColumn("part", F.pmod(F.xxhash64("x"), parts).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    rows = rows.select("sig", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "x", "c", "sketch")
+
+    def pairs(part: np.ndarray, x: np.ndarray, c: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        one = np.flatnonzero(part == part.min())
+        two = one if (part == part[0]).all() else np.flatnonzero(part != part.min())
+        found = []
+        for at in range(0, len(one), 64):
+            some = one[at : at + 64]
+            i, j = np.nonzero((c[some][:, None] != c[two]) & could(k[some][:, None], k[two], percent))
+            found.append(np.stack([x[some[i]], x[two[j]]]))
+        a, b = np.concatenate(found, axis=1)
+        return np.minimum(a, b), np.maximum(a, b)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+
+        def made(key: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
+            out = [pairs(*(v[a:b] for v in columns)) for a, b in zip(starts, [*starts[1:], len(key)], strict=True) if b - a > 1]
+            code = np.unique(np.concatenate([np.stack(x, axis=1) for x in out] or [np.zeros((0, 2), np.int64)]), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(code[:, 0]), pa.array(code[:, 1])], ["a", "b"])
+
+        for batch in batches:
+            now = [np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)], axis=1), *(batch.column(i).to_numpy() for i in (3, 4, 5)), sketched(batch.column(6))]
+            if held is not None:
+                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+            if not len(now[0]):
+                continue
+            last = int(np.flatnonzero((now[0] != now[0][-1]).any(axis=1)).max(initial=-1)) + 1  # the last group may go on
+            if last:
+                yield made(*(v[:last] for v in now))
+            held = [v[last:] for v in now]
+        if held is not None:
+            yield made(*held)
+
+    return rows.repartition("sig", "p", "q").sortWithinPartitions("sig", "p", "q").mapInArrow(run, "a long, b long").distinct()
 
 
 def links(posts: DataFrame, all_: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) enough to connect all nodes that any links connect."""
     by = Window.partitionBy("sig")
-    rest, found = posts.withColumn("d", F.lit(0.0)), None
-    for k in range(1 + ROUNDS):
-        crowd = rest.select("*", F.min(F.struct("x", "n")).over(by).alias("h"), F.count("*").over(by).alias("size")).where(F.lit(not k) | (F.col("size") > CROWD))
-        star = crowd.where("x <> h.x").select(F.col("h.x").alias("a"), F.col("x").alias("b"), F.col("h.n").alias("m"), "n", "sig")
-        if k:
-            star = materialize(star, "jaccard-star")
-            if star.isEmpty():
-                break
-        seen = verify(star.where(near("n", "m", percent)).select("a", "b").distinct(), all_, width)
-        found = linked(seen, percent) if found is None else found.unionByName(linked(seen, percent))
-        comp = components(found)
-        # what is left: nodes other than the hub, of signatures over several components; d: distance to the first hub
-        hubs = rest.groupBy("sig").agg(F.min("x").alias("hub"), F.count("*").alias("size"))
-        left = rest.join(hubs, "sig").where(((F.col("size") <= CROWD) & F.lit(bool(k))) | (F.col("x") != F.col("hub")))
-        if not k:
-            dist = seen.select(F.col("a").alias("hub"), F.col("b").alias("x"), (1 - F.col("both") / F.col("either")).alias("far"))
-            left = left.drop("d").join(dist, ["hub", "x"], "left").withColumn("d", F.col("far"))
-        left = left.select("sig", "x", "n", "d").join(comp, "x", "left").withColumn("c", F.coalesce("c", "x"))
-        left = left.select("*", F.min("c").over(by).alias("c0"), F.max("c").over(by).alias("c1")).where("c0 <> c1")
-        rest = materialize(left.select("sig", "x", "n", "d", "c"), "jaccard-rest")
-        if rest.isEmpty():
-            return found
-        rest = rest.drop("c")
-    left = rest.join(components(found), "x", "left").withColumn("c", F.coalesce("c", "x"))
-    one, two = left.alias("p"), left.alias("q")
-    slack = (100 - percent) / 100 + 1e-9
-    pairs = one.join(two, F.expr("p.sig = q.sig and p.x < q.x and p.c <> q.c")).where(near("p.n", "q.n", percent) & (F.col("p.d").isNull() | F.col("q.d").isNull() | (F.abs(F.col("p.d") - F.col("q.d")) <= slack)))
-    seen = verify(pairs.select(F.col("p.x").alias("a"), F.col("q.x").alias("b")).distinct(), all_, width)
-    return found.unionByName(linked(seen, percent))
+    hub = posts.select("*", F.min(F.struct("x", "n")).over(by).alias("h"))
+    near = F.least("n", "h.n") * 100 >= F.greatest("n", "h.n") * percent
+    star = hub.where((F.col("x") != F.col("h.x")) & near).select(F.col("h.x").alias("a"), F.col("x").alias("b")).distinct()
+    found = linked(verify(likely(star, all_, percent), all_, width), percent)
+    rest = hub.where("x <> h.x").select("sig", "x").join(components(found), "x", "left").withColumn("c", F.coalesce("c", "x"))
+    rest = rest.select("*", F.min("c").over(by).alias("c0"), F.max("c").over(by).alias("c1"), F.count("*").over(by).alias("size")).where("c0 <> c1")
+    rest = materialize(rest.select("sig", "x", "c", "size"), "jaccard-rest")
+    return found.unionByName(linked(verify(between(rest, all_, percent), all_, width), percent))
 
 
 def grouped(all_: DataFrame, width: int, percent: int, frequent: int = FREQUENT, long: int = LONG) -> DataFrame:
     """all_: as of sets(). row, key, n, component (the first row of the component) and component_key (its smallest key)."""
     reps = materialize(all_.where("n > 0").groupBy("hi", "lo").agg(F.min("row").alias("x"), F.min("key").alias("least"), F.min("n").alias("n")), "jaccard-reps")
-    posts = postings(all_, reps.select("hi", "lo", "x", "n"), bitmap(all_, frequent), width, percent, long)
+    posts = postings(all_, reps.select("hi", "lo", "x", "n"), classify(all_, frequent), width, percent, long)
     comp = components(links(posts, all_, width, percent))
     named = reps.join(comp, "x", "left").withColumn("c", F.coalesce("c", "x"))
     names = materialize(named.join(comp, "c", "left_semi").groupBy("c").agg(F.min("least").alias("name")), "jaccard-names")
