@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataframe.model import StoreError, corruption
+from strataframe.plans.files import Files
 from strataframe.sources import formats
 
 LOG_SCHEMA = "file_id long, offset long, size long, key binary, ts long, tombstone boolean, value binary"
@@ -26,7 +27,7 @@ def read_logs(spark: SparkSession, path: str, kind: str = "log") -> DataFrame:
     """Records of all log or write-ahead files of a folder. The newest file's torn tail is left out; damage in an
     older, sealed one is an error for logs."""
     files = _files(spark, path, kind)
-    names = [m for r in files.select("path").collect() if (m := NAME.search(r.path))]  # file names only
+    names = [m for n in Files(spark, path).names("") if n.endswith(f".{kind}") and (m := NAME.search(n))]  # empty files too
     newest = max((int(m[1]) for m in names), default=0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
