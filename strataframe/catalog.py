@@ -6,8 +6,9 @@ The driver's tables stand for stores: `events` is a change log (key user_id, ord
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from strataframe.operators import integrity, resolve, stats
 from strataframe.plans.layered import LayeredStore
 from strataframe.plans.logstore import LogStore
 from strataframe.plans.shared import shared_path
+from strataframe.sources import formats, wire
 from strataframe.streaming.ingest import ingest, latest_state
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -291,8 +293,71 @@ round(sum(21 + length(CAST(user_id AS VARCHAR)) + CASE WHEN {DEAD} THEN 0 ELSE l
 def space_amplification(spark, sf_dir):
     ev = events(spark, sf_dir)
     size = stats.size_of(stats.RECORD_HEADER, F.col("user_id").cast("string"), F.when(~F.col("tombstone"), F.col("props")))
-    live = resolve.latest(ev, "user_id", "event_id").agg(F.count("*").alias("live_keys"), F.sum(size).alias("live"))
-    return ev.agg(F.count("*").alias("log_records"), F.sum(size).alias("all")).crossJoin(live).select("log_records", "live_keys", F.round(F.col("all") / F.col("live"), 6).alias("space_amplification"))
+    none = F.lit(0).cast("long")
+    live = resolve.latest(ev, "user_id", "event_id").agg(none.alias("records"), none.alias("all"), F.count("*").alias("keys"), F.sum(size).alias("live"))
+    whole = ev.agg(F.count("*").alias("records"), F.sum(size).alias("all"), none.alias("keys"), none.alias("live"))
+    both = whole.unionByName(live).agg(*(F.sum(c).alias(c) for c in ("records", "all", "keys", "live")))
+    return both.select(F.col("records").alias("log_records"), F.col("keys").alias("live_keys"), F.round(F.col("all") / F.col("live"), 6).alias("space_amplification"))
+
+
+def through(df: DataFrame, f: Callable[[list[dict]], list[tuple]], schema: str) -> DataFrame:
+    """Rows of each batch through a function on whole batches, as a codec takes them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame(f(batch.to_dict("records")), columns=[c.split()[0] for c in schema.split(", ")])
+
+    return df.mapInPandas(run, schema)
+
+
+@query(f"SELECT user_id, event_id, {DEAD} AS tombstone, CASE WHEN NOT ({DEAD}) THEN props END AS props FROM events")
+def record_codec(spark, sf_dir):
+    """The change log through framed records and back."""
+
+    def f(rows: list[dict]) -> list[tuple]:
+        log = b"".join(formats.encode_record(formats.Record(bytes(r["key"]), bytes(r["value"] or b""), r["seq"], r["tombstone"])) for r in rows)
+        return [(int(r.key), r.ts, r.tombstone, None if r.tombstone else r.value.decode()) for _, _, r in formats.scan_records(log)]
+
+    return through(changelog(spark, sf_dir), f, "user_id long, event_id long, tombstone boolean, props string")
+
+
+@query("SELECT c_custkey, c_name, 'Found' AS lookup FROM customer")
+def table_codec(spark, sf_dir):
+    """Customers through sorted table files and back, each looked up by filter and block."""
+
+    def f(rows: list[dict]) -> list[tuple]:
+        by = {r["c_name"].encode(): str(r["c_custkey"]).encode() for r in rows}
+        table_ = formats.Table(formats.encode_table([formats.Entry(k, v) for k, v in sorted(by.items())], 512))
+        return [(int(e.value), e.key.decode(), "Found" if e.key in table_.bloom else "NotPresent") for e in table_]
+
+    return through(table(spark, sf_dir, "customer"), f, "c_custkey long, c_name string, lookup string")
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'GET' WHEN 1 THEN 'PUT' ELSE 'DELETE' END AS op, CASE WHEN o_orderkey % 3 = 1 THEN o_orderpriority ELSE '' END AS value FROM orders")
+def wire_codec(spark, sf_dir):
+    """Requests for order keys through frames and back."""
+
+    def f(rows: list[dict]) -> list[tuple]:
+        ops = (wire.GET, wire.PUT, wire.DELETE)
+        sent = b"".join(wire.frame(wire.encode_request(wire.Request(ops[r["o_orderkey"] % 3], str(r["o_orderkey"]).encode(), r["o_orderpriority"].encode()))) for r in rows)
+        got = [wire.decode_request(p) for p in wire.Frames().feed(sent)]
+        return [(int(r.key), ("GET", "PUT", "DELETE")[r.op - 1], r.value.decode()) for r in got]
+
+    return through(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), f, "o_orderkey long, op string, value string")
+
+
+@query(f"WITH t AS ({TABLES}) SELECT level, CAST(level = 0 AS BOOLEAN) AS overlapping, CAST(10485760 * 10 ** (level - 1) AS BIGINT) * CAST(level > 0 AS INT) AS budget, CAST(sum(file_size) AS BIGINT) AS bytes FROM t GROUP BY level")
+def level_budgets(spark, sf_dir):
+    budgets = F.create_map(*(F.lit(x) for k in range(7) for x in (k, scalars.level_budget(k))))
+    rows = as_tables(spark, sf_dir).groupBy("level").agg(F.sum("file_size").alias("bytes"))
+    return rows.select("level", (F.col("level") == 0).alias("overlapping"), budgets[F.col("level")].cast("long").alias("budget"), "bytes")
+
+
+@query("SELECT o_orderstatus, CAST(count(*) AS BIGINT) AS n, CAST(max(o_orderkey) AS BIGINT) AS newest FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 900 GROUP BY o_orderstatus")
+def range_summary(spark, sf_dir):
+    """A range scan summed up; beyond what the model itself offers."""
+    orders = table(spark, sf_dir, "orders").withColumn("tombstone", F.lit(False))
+    return resolve.latest(orders.where(resolve.in_range("o_orderkey", 100, 900)), "o_orderkey", "o_orderkey").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.max("o_orderkey").alias("newest"))
 
 
 @query()
