@@ -37,6 +37,23 @@ def overlap(t: dict, low: str, high: str) -> bool:
     return not (t["high"] < low or high < t["low"])
 
 
+def scanned_rows(df: DataFrame) -> int:
+    """Rows that left the file scans of a DataFrame that was run."""
+
+    def walk(plan) -> int:
+        name = plan.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return walk(plan.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return walk(plan.plan())
+        if name == "FileSourceScanExec":
+            return plan.metrics().apply("numOutputRows").value()
+        children = plan.children()
+        return sum(walk(children.apply(i)) for i in range(children.size()))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
 class LayeredStore:
     def __init__(self, spark: SparkSession, root: str, options: Options = Options(), stop_at: Callable[[str], None] | None = None):
         self.spark, self.files, self.options = spark, Files(spark, root), options
@@ -77,6 +94,7 @@ class LayeredStore:
         segments = sorted(n for n in self.files.names("wal") if n.endswith(".wal"))
         for n in segments:
             for _, _, r in scan_records(self.files.read(f"wal/{n}")):
+                self.counters["wal_records_replayed"] += 1
                 self.memtable[r.key] = (r.tombstone, None if r.tombstone else r.value)
         if segments:
             self._flush_rows()
@@ -182,8 +200,8 @@ class LayeredStore:
         out = rows.select("key", "tombstone", "value", F.lit(level).alias("level"), F.lit(id_).cast("long").alias("table_id"))
         out = out.repartitionByRange(parts, "key") if parts > 1 or level else out.repartitionByRange("key")
         folder = f"tables/{id_:012d}-{uuid.uuid4().hex[:8]}"
-        write = out.sortWithinPartitions("key").write.option("parquet.bloom.filter.expected.ndv#key", 100_000)
-        write.parquet(f"{self.root}/{folder}")
+        filters = {"enabled#key": "true", "adaptive.enabled": "true", "fpp#key": str(0.6185**self.options.probe_bits)}  # as large as a file's keys ask for
+        out.sortWithinPartitions("key").write.options(**{f"parquet.bloom.filter.{k}": v for k, v in filters.items()}).parquet(f"{self.root}/{folder}")
         self.stop("tables_written")
         found = self._described([f"{folder}/{n}" for n in self.files.names(folder) if n.endswith(".parquet")])
         for k, t in enumerate(found):
@@ -217,7 +235,9 @@ class LayeredStore:
             state = json.loads(self.files.read(f"manifest/{version:012d}.json"))
         tables = [t for level in state["levels"] for t in level if not (begin and t["high"] < begin.hex()) and not (end and t["low"] >= end.hex())]
         self.counters["tables_pruned"] += sum(map(len, state["levels"])) - len(tables)
-        rows = self.spark.read.schema(LAYER).parquet(*(f"{self.root}/{t['path']}" for t in tables)) if tables else self.spark.createDataFrame([], LAYER)
+        self.counters["tables_probed"] += len(tables)
+        reader = self.spark.read.schema(LAYER).option("parquet.filter.bloom.enabled", str(self.options.bloom_enabled).lower())
+        rows = reader.parquet(*(f"{self.root}/{t['path']}" for t in tables)) if tables else self.spark.createDataFrame([], LAYER)
         held = self._held() if memory and version is None else None
         rows = rows.unionByName(held) if held is not None else rows
         return rows.where(in_range("key", begin, end))
@@ -246,8 +266,13 @@ class LayeredStore:
         if key in self.memtable:
             tombstone, value = self.memtable[key]
             return (Status(Code.NOT_FOUND), None) if tombstone else (Status(), value)
-        rows = self.layers(key, key + b"\0", memory=False).withColumn("_rank", -F.col("level"))
-        found = latest(rows, seq=["_rank", "table_id"]).select("value").collect()  # one row at most
+        probed = self.counters["tables_probed"]
+        rows = self.layers(key, key + b"\0", memory=False).where(F.col("key") == F.lit(key)).withColumn("_rank", -F.col("level"))
+        answer = latest(rows, seq=["_rank", "table_id"]).select("value")
+        found = answer.collect()  # one row at most
+        scanned = scanned_rows(answer)
+        self.counters["rows_scanned"] += scanned
+        self.counters["tables_rejected"] += 0 if scanned else self.counters["tables_probed"] - probed
         return (Status(), bytes(found[0].value)) if found else (Status(Code.NOT_FOUND), None)
 
     def multi_get(self, keys: DataFrame) -> DataFrame:
@@ -299,6 +324,7 @@ class LayeredStore:
         state["levels"][level + 1] = sorted(state["levels"][level + 1] + made, key=lambda t: t["low"])
         state["cursors"][str(level)] = high
         self.counters["compactions"] += 1
+        self.counters["tables_obsoleted"] += len(merged)
         self.counters["compacted_bytes_in"] += size
         self.counters["compacted_bytes_out"] += sum(t["size"] for t in made)
         self._commit(state)

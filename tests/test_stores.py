@@ -219,3 +219,18 @@ def test_log_store_compaction(spark, tmp_path):
     assert dict((bytes(r.key), r.file_id) for r in s.index().collect()) == {b"a": 1}
     s.put(b"b", b"new")
     assert LogStore(spark, str(tmp_path)).get(b"b")[1] == b"new"
+
+
+def test_filters_change_cost_not_answers(spark, tmp_path):
+    s = filled(spark, tmp_path)
+    changes = spark.range(0, 200_000, 2).selectExpr("encode(format_string('key%09d', id), 'UTF-8') as key", "id as seq", "false as tombstone", "encode(string(id), 'UTF-8') as value")
+    s.apply(changes)
+    s.reset_stats()
+    for k in (b"key000000001", b"key000090001", b"key000150001"):
+        assert s.get(k)[0].code is Code.NOT_FOUND
+    assert s.stats()["rows_scanned"] == 0 and s.stats()["tables_rejected"] >= 3
+    assert s.get(b"key000090000")[1] == b"90000" and 0 < s.stats()["rows_scanned"] < 100_000
+    off = filled(spark, tmp_path, bloom_enabled=False)
+    assert off.get(b"key000090001")[0].code is Code.NOT_FOUND and off.get(b"key000090000")[1] == b"90000"
+    assert off.stats()["rows_scanned"] > 0 and off.stats().get("tables_rejected", 0) == 0
+    assert s.get(b"zzz")[0].code is Code.NOT_FOUND and s.stats()["tables_pruned"] > 0
