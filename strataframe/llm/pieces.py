@@ -1,7 +1,7 @@
 """Sampled segmentations over a SentencePiece vocabulary, and their lossless decoding.
 
 A text is cut into segments, each a run of other characters with the space before it (a further space is a
-segment of its own; one space is put before the text). Over a segment's lattice of pieces the forward filter sums
+segment of its own; one space is put before the text), and further where no piece can span the cut. Over a segment's lattice of pieces the forward filter sums
 the weights of all ways to each place; the backward sampler then draws pieces from the end, each in
 proportion to the weight of the ways through it. Weights follow the pieces' ranks: (rank + 10) ** -theta.
 Every draw is a hash of seed, row key, segment and step: neither partitions nor retries change a result.
@@ -21,6 +21,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,10 +30,18 @@ from pyspark.sql import functions as F
 from strataframe.llm.common import GOLDEN, bounded_batches, mix, runs
 
 BLOCK, THETA, SEED = "▁", 1.5, 0
-MASK = (1 << 22) - 1
+STEP = np.uint64(0xD1342543DE82EF95)
+MASK, HIGH = (1 << 22) - 1, np.uint64(42)
+#: Runs with the space before them.
 SEGMENTS = re.compile(" ?[^ ]+| ").findall
 
 
+def cutter(names):
+    """Cuts a text into segments: between letters and others too, if no piece mixes them."""
+    mixed = regex.compile(rf"{BLOCK}?(?:\p{{L}}+|[^\p{{L}} ]+)?").fullmatch
+    return regex.compile(r" ?\p{L}+| ?[^\p{L} ]+| ").findall if all(map(mixed, names)) else SEGMENTS
+
+
 class Lattices:
     """The vocabulary, and the lattices of many segments at once. Node and edge arrays hold all lattices one after
     another: a segment of n characters has n + 1 nodes, and an edge leads back from a node to an earlier one
@@ -52,27 +62,32 @@ class Lattices:
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)) and BLOCK not in name[1:]:
                 names[name] = i
                 self.spelt[i] = name.replace(BLOCK, " ").encode()
+        spelt = [b or b"" for b in self.spelt]
+        self.bytes = np.frombuffer(b"".join(spelt), np.uint8)
+        self.n_bytes = np.fromiter(map(len, spelt), np.int64, len(spelt))
+        self.first_byte = np.cumsum(self.n_bytes) - self.n_bytes
         ranks = np.array([max(0.0, -sp.get_score(i)) for i in names.values()])
         self.longest = max(map(len, names))
+        self.cut = cutter(names)
         self.least = -theta * np.log(10.0 + sp.vocab_size())
         hashes = self.rolled(names)
         order = np.argsort(hashes)
         self.hashes, self.ids, self.logw = hashes[order], np.array(list(names.values()), np.int64)[order], (-theta * np.log(10.0 + ranks))[order]
-        self.starts = np.zeros(MASK + 1, bool)  # which hashes, by their last bits, are of a piece's beginning
-        self.starts[self.rolled({n[:k] for n in names for k in range(1, len(n) + 1)}) & np.uint64(MASK)] = True
+        self.starts = np.zeros(MASK + 1, bool)  # which hashes, by their first bits, are of a piece's beginning
+        self.starts[self.rolled({n[:k] for n in names for k in range(1, len(n) + 1)}) >> HIGH] = True
         # two tables from bits of a hash to a piece; the second has those whose place in the first is taken
         self.one, self.two = np.zeros(MASK + 1, np.int32), np.zeros(MASK + 1, np.int32)
-        self.one[(self.hashes & np.uint64(MASK)).astype(np.int64)] = np.arange(len(self.hashes))
-        for i in np.flatnonzero(self.one[(self.hashes & np.uint64(MASK)).astype(np.int64)] != np.arange(len(self.hashes))):
-            self.two[int(self.hashes[i] >> np.uint64(32)) & MASK] = i
+        self.one[self.hashes >> HIGH] = np.arange(len(self.hashes))
+        for i in np.flatnonzero(self.one[self.hashes >> HIGH] != np.arange(len(self.hashes))):
+            self.two[int(self.hashes[i] >> np.uint64(20)) & MASK] = i
         if (self.hashes[self.find(self.hashes)] != self.hashes).any():
             raise ValueError("two pieces have one place in both tables")
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The number of the piece with each hash, if there is one."""
-        first = self.one[h & np.uint64(MASK)]
+        first = self.one[h >> HIGH]
         other = np.flatnonzero(self.hashes[first] != h)
-        first[other] = self.two[(h[other] >> np.uint64(32)) & np.uint64(MASK)]
+        first[other] = self.two[(h[other] >> np.uint64(20)) & np.uint64(MASK)]
         return first
 
     def rolled(self, names) -> np.ndarray:
@@ -87,7 +102,7 @@ class Lattices:
     @staticmethod
     def roll(h: np.ndarray, code: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return mix(h * GOLDEN + code + np.uint64(1))
+            return (h + code + np.uint64(1)) * GOLDEN
 
     def build(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """last node by segment; where its edges end by node; by edge, in the order of nodes: node plus the share of
@@ -101,54 +116,54 @@ class Lattices:
         node = np.arange(len(code)) + np.repeat(np.arange(len(segments)), size)  # where each character begins
         left = np.repeat(size, size) - place
         at, h = np.arange(len(code)), np.zeros(len(code), np.uint64)
-        ends, backs, pieces, logs = [], [], [], []
+        count, found = np.zeros(len(code) + len(segments), np.int64), []
         for k in range(1, self.longest + 1):
             own = left[at] >= k
             at, h = at[own], h[own]
             if not len(at):
                 break
             h = self.roll(h, code[at + k - 1])
-            own = self.starts[h & np.uint64(MASK)]
-            if k == 1:
-                hit = self.find(h)
-                unspelt = self.hashes[hit] != h
-                ends.append(node[unspelt] + 1)
-                backs.append(np.ones(unspelt.sum(), np.int64))
-                pieces.append(-1 - plain[unspelt].astype(np.int64))
-                logs.append(np.full(unspelt.sum(), self.least))
-            at, h = at[own], h[own]
             hit = self.find(h)
             is_ = self.hashes[hit] == h
-            ends.append(node[at[is_]] + k)
-            backs.append(np.full(is_.sum(), k))
-            pieces.append(self.ids[hit[is_]])
-            logs.append(self.logw[hit[is_]])
-        end, back, piece, logw = map(np.concatenate, (ends, backs, pieces, logs))
-        depth = np.zeros(len(code) + len(segments), np.int64)
+            if k == 1:  # each character ends somewhere
+                found.append((node + 1, np.where(is_, self.ids[hit], -1 - plain.astype(np.int64)), np.where(is_, self.logw[hit], self.least)))
+            else:
+                found.append((node[at[is_]] + k, self.ids[hit[is_]], self.logw[hit[is_]]))
+            count[found[-1][0]] += 1
+            own = self.starts[h >> HIGH]
+            at, h = at[own], h[own]
+        edge_end = np.cumsum(count)
+        free, n = edge_end - count, int(edge_end[-1])
+        back, piece, logw, key = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+        for k, (end, some, w) in enumerate(found, 1):
+            slot = free[end]
+            back[slot], piece[slot], logw[slot] = k, some, w
+            free[end] += 1
+        source = np.repeat(np.arange(len(count)), count) - back
+        depth = np.zeros(len(count), np.int64)
         depth[node + 1] = place + 1
-        order = np.lexsort((back, end, depth[end]))
-        end, back, piece, logw = end[order], back[order], piece[order], logw[order]
-        ways, key = np.zeros(len(depth)), np.zeros(len(end))
-        bounds = np.r_[0, np.cumsum(np.bincount(depth[end]))]
-        for a, b in zip(bounds[1:-1].tolist(), bounds[2:].tolist(), strict=True):  # all edges to a depth, in step
-            e = end[a:b]
-            x = ways[e - back[a:b]] + logw[a:b]
-            start = np.flatnonzero(np.r_[True, e[1:] != e[:-1]])
-            n = np.diff(np.r_[start, b - a])
+        by_depth = np.argsort(depth.astype(np.uint16) if depth.max() < 1 << 16 else depth, kind="stable")
+        bounds = np.r_[0, np.cumsum(np.bincount(depth))]
+        ways = np.zeros(len(count))
+        for a, b in zip(bounds[1:-1].tolist(), bounds[2:].tolist(), strict=True):  # all nodes of a depth, in step
+            nodes = by_depth[a:b]
+            n = count[nodes]
+            start = np.cumsum(n) - n
+            e = np.repeat(edge_end[nodes] - n - start, n) + np.arange(start[-1] + n[-1])
+            x = ways[source[e]] + logw[e]
             top = np.maximum.reduceat(x, start)
             x = np.exp(x - np.repeat(top, n))
             total = np.add.reduceat(x, start)
-            ways[e[start]] = top + np.log(total)
+            ways[nodes] = top + np.log(total)
             c = np.cumsum(x)
             c = (c - np.repeat(c[start] - x[start], n)) / np.repeat(total, n)
             c[start + n - 1] = 1.5  # above any draw, however rounded
-            key[a:b] = e + c
-        order = np.argsort(end, kind="stable")
-        return first + np.arange(len(segments)) + size, np.cumsum(np.bincount(end, minlength=len(depth))), key[order], back[order], piece[order]
+            key[e] = np.repeat(nodes, n) + c
+        return first + np.arange(len(segments)) + size, edge_end, key, back, piece
 
     def sample(self, texts: list[str], keys: list[str], seed: int = SEED) -> list[np.ndarray]:
         """The ids of each text."""
-        cut = [SEGMENTS(" " + t) if t else [] for t in texts]
+        cut = [self.cut(" " + t) if t else [] for t in texts]
         flat = [s for ss in cut for s in ss]
         n = np.array([len(ss) for ss in cut], np.int64)
         row = np.array([xxhash.xxh3_64_intdigest(k.encode(), seed=seed) for k in keys], np.uint64)
@@ -160,14 +175,16 @@ class Lattices:
         with np.errstate(over="ignore"):
             state = mix(np.repeat(row, n) + runs(n).astype(np.uint64) * GOLDEN)
         node = last[number]
-        lengths = np.fromiter(map(len, flat), np.int64, len(flat))  # characters left
+        lengths = np.fromiter(map(len, new), np.int32, len(new))[number]  # characters left
         live, out = np.arange(len(flat)), []
         for step in range(int(lengths.max(initial=0))):
             live = live[lengths[live] > 0]
             if not len(live):
                 break
             with np.errstate(over="ignore"):
-                u = (mix(state[live] + np.uint64(step + 1)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+                x = state[live] + np.uint64(step + 1) * STEP
+                x = (x ^ (x >> np.uint64(32))) * GOLDEN
+                u = ((x ^ (x >> np.uint64(29))) * STEP >> np.uint64(11)).astype(np.float64) * 2.0**-53
             at = node[live]
             edge, u = edge_end[at - 1], u + at
             on = np.flatnonzero(key[edge] <= u)
@@ -193,8 +210,18 @@ class Lattices:
         bounds = np.searchsorted(own, np.r_[0, ends])
         return [ids[a:b].astype(np.int32) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
+    def spell(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of the texts whose ids end at `ends`, one text after another, and where each ends."""
+        n, at = self.n_bytes[ids], self.first_byte[ids]
+        if (n == 0).any():
+            raise ValueError("an id that no piece has")
+        first = np.r_[0, ends[:-1]][np.diff(np.r_[0, ends]) > 0]
+        n[first] -= 1  # the space put before a text
+        at[first] += 1
+        return self.bytes[np.repeat(at, n) + runs(n)], np.r_[0, np.cumsum(n)][ends]
+
     def decode(self, ids: np.ndarray) -> str:
-        return b"".join(map(self.spelt.__getitem__, ids.tolist())).decode()[1:]
+        return self.spell(ids, np.array([len(ids)]))[0].tobytes().decode()
 
 
 _loaded: dict = {}
@@ -229,9 +256,11 @@ def decode(encoded: DataFrame, path: str, theta: float = THETA) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(2)
-            own = [None if x is None else np.array(x, np.int64) for x in ids.to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([None if x is None else lattices(path, theta).decode(x) for x in own], pa.string())], ["doc_id", "text", "ids", "decoded"])
+            column = batch.column(2)
+            n = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            data, ends = lattices(path, theta).spell(column.flatten().to_numpy().astype(np.int64), np.cumsum(n))
+            flat = pa.StringArray.from_buffers(len(n), pa.py_buffer(np.r_[0, ends].astype(np.int32)), pa.py_buffer(data))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pc.if_else(column.is_valid(), flat, pa.scalar(None, pa.string()))], ["doc_id", "text", "ids", "decoded"])
 
     return encoded.mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string, ids array<int>, decoded string")
 
