@@ -114,18 +114,17 @@ def parents(rows: DataFrame) -> DataFrame:
 
 
 def threads(links: DataFrame) -> DataFrame:
-    """links: row, up, ... with up.row or null. Adds root (conv, turn, row) and depth by pointer jumping."""
-    now = links.withColumn("root", F.coalesce("up", F.struct("conv", "turn", "row"))).withColumn("depth", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long"))
-    now = materialize(now, "chat-threads")
-    while True:
-        above = now.where("depth > 0").select(F.col("row").alias("at"), F.col("root").alias("next"), F.col("depth").alias("more"))
-        if above.isEmpty():
-            return now
-        out = now.join(above, F.col("root.row") == F.col("at"), "left")
-        out = materialize(out.select(*(c for c in now.columns if c not in ("root", "depth")), F.coalesce("next", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("next").isNotNull().alias("moved")), "chat-threads")
-        now = out.drop("moved")
-        if out.where("moved").isEmpty():
-            return now
+    """links: row, up, ... with up.row or null. Adds root (conv, turn, row) and depth by pointer jumping; a message whose
+    root is found leaves the rounds."""
+    first = links.withColumn("root", F.coalesce("up", F.struct("conv", "turn", "row"))).withColumn("depth", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long"))
+    first = materialize(first, "chat-threads")
+    done, left = first.where("depth = 0"), first.where("depth > 0")
+    while not left.isEmpty():
+        above = done.unionByName(left).where("depth > 0").select(F.col("row").alias("at"), F.col("root").alias("next"), F.col("depth").alias("more"))
+        out = left.join(above, F.col("root.row") == F.col("at"), "left")
+        out = materialize(out.select(*(c for c in first.columns if c not in ("root", "depth")), F.coalesce("next", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("next").isNotNull().alias("moved")), "chat-threads")
+        done, left = done.unionByName(out.where("not moved").drop("moved")), out.where("moved").drop("moved")
+    return done
 
 
 def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
