@@ -1,34 +1,58 @@
-"""Quality, language, near duplicates, packing: a corpus from documents to sequences."""
+"""Quality, language, near duplicates, packing: a corpus from documents to sequences.
+
+Each stage's result must be written before the next stage starts, which deletes the tables that the one before wrote on its way."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataframe.llm import jaccard, langid, packing, quality
-from strataframe.llm.common import materialize
+from strataframe.llm.common import delete, materialize, written
 
 #: The least share of letters that one language must hold.
 LANGUAGE_SHARE = 0.5
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_spent: list[str] = []
+
+
+def stage(f: Stage) -> Stage:
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _spent:
+            delete(spark, _spent.pop())
+        before = written()
+        out = f(spark, docs, sf_dir)
+        _spent.extend(written() - before)
+        return out
+
+    return run_stage
 
 
+@stage
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score, learnt from the labels, reaches the threshold."""
     ranker = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.score(docs, ranker, keep=True).where(F.col("score") >= quality.CUT).select(*docs.columns)
 
 
+@stage
 def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with letters, at least LANGUAGE_SHARE of them in spans of one language."""
     seen = langid.label(docs, langid.train(docs))
     return seen.where((F.col("lang_pred") != "und") & (F.col("score") >= LANGUAGE_SHARE)).select(*docs.columns)
 
 
+@stage
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, similarity 0.8."""
     return jaccard.distinct(docs, width=5, percent=80)
 
 
+@stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents' tokens in sequences."""
     import public_tokenizers
@@ -43,8 +67,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+    for k, (name, step) in enumerate(STAGES):
+        docs = step(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialize(docs, f"stage-{name.replace(' ', '-')}")
     return docs

@@ -32,11 +32,41 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/strataframe/{label}-{uuid.uuid4().hex}"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_written: dict[str, None] = {}
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there, and lost executors cost nothing."""
-    path = shared_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes df to the shared folder and reads it back: lineage ends there, and lost executors cost nothing. Its shuffle
+    files go at once; the table stays until discard() or delete()."""
+    spark, path = df.sparkSession, shared_path(df.sparkSession, label)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    _written[path] = None
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _written.pop(path, None)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing will read again."""
+    for df in tables:
+        delete(df.sparkSession, df._written_at)
+
+
+def written() -> set[str]:
+    """The tables written and not deleted."""
+    return set(_written)
 
 
 def bounded_batches(spark: SparkSession, rows: int = 512) -> None:

@@ -8,8 +8,8 @@ linked sets share a rare token or a pair of frequent tokens, and those are index
 also index frequent tokens singly instead of in pairs, whose number grows with the square of e; sets just
 below LONG do both, as they may link with longer ones. Every candidate is verified exactly.
 
-Equal sets are one node. Of the nodes that share a signature, all are compared with one hub, and the links found
-make components. Nodes of a signature that are then in several components are compared in blocks of at most BLOCK, by
+Equal sets are one node. Of the nodes that share a signature, all are compared with a hub, or with a few if they are many, and
+the links found make components. Nodes of a signature that are then in several components are compared in blocks of at most BLOCK, by
 their counts of tokens in BUCKETS ranges of the hash: the sum of the smaller counts is the most that two sets can share,
 and only pairs that could link leave the block to be verified. So nothing is lost, and neither a large group of near copies nor a
 passage that many share turns into pairs.
@@ -35,14 +35,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from strataframe.llm.common import BYTE_WORDS, GOLDEN, bounded_batches, materialize, mix
+from strataframe.llm.common import BYTE_WORDS, GOLDEN, bounded_batches, discard, materialize, mix
 
 WIDTH, PERCENT = 3, 90
 #: Prefixes that make a token frequent, tokens from which sets index singly, comparisons with a hub in one task.
 FREQUENT, LONG, PER_TASK = 8, 640, 128
 #: Bits of a bitmap at most, and of a part of it; rows of a block; hash ranges of a sketch.
-MOST_CELLS, PART, BLOCK, BUCKETS = 1 << 27, 1 << 15, 1024, 64
-BROADCAST_ROWS = 500_000
+MOST_CELLS, PART, BLOCK, BUCKETS = 1 << 27, 1 << 15, 1024, 256
+#: Hubs of a signature of more than CROWD nodes; any other has one.
+HUBS, CROWD, BROADCAST_ROWS = 8, 16, 500_000
 
 
 def tokens(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -64,8 +65,11 @@ def missing(n, percent: int = PERCENT):
     return n * (100 - percent) // 100
 
 
-def sketch(t: np.ndarray) -> np.ndarray:
-    return np.bincount((t >> np.uint64(58)).astype(np.int64), minlength=BUCKETS).astype("<u4")
+def sketch(t: np.ndarray) -> bytes:
+    """Counts of tokens by range of the hash, of the narrowest of three widths that holds them."""
+    counts = np.bincount((t >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64), minlength=BUCKETS)
+    most = counts.max()
+    return counts.astype("u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4").tobytes()
 
 
 class Classes:
@@ -109,7 +113,7 @@ def sets(docs: DataFrame, key: str, text: str, width: int, percent: int, rest: t
             digest = np.array([divmod(xxhash.xxh3_128_intdigest(t.tobytes()), 1 << 64) for t in own], np.uint64).reshape(-1, 2).view(np.int64)
             head = [t[: missing(len(t), percent) + 1].view(np.int64) for t in own]
             ends = np.r_[0, np.cumsum([len(h) for h in head])]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([len(t) for t in own], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array([sketch(t).tobytes() for t in own], pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*head, np.zeros(0, np.int64)]), pa.int64()))], ["key", "text", "rest", "n", "hi", "lo", "sketch", "head"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([len(t) for t in own], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array([sketch(t) for t in own], pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*head, np.zeros(0, np.int64)]), pa.int64()))], ["key", "text", "rest", "n", "hi", "lo", "sketch", "head"])
 
     chosen = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.struct(F.lit(True).alias("_row"), *rest).alias("rest"))
     schema = T.StructType(list(chosen.schema.fields))
@@ -138,6 +142,7 @@ def classify(all_: DataFrame, frequent: int = FREQUENT) -> Classes:
     maps = np.zeros((2, cells // PART, PART // 8), np.uint8)
     for r in cut.groupBy(F.expr(f"cell div {PART}").alias("p")).applyInPandas(part, "part long, one binary, two binary").collect():
         maps[0, r.part], maps[1, r.part] = np.frombuffer(r.one, np.uint8), np.frombuffer(r.two, np.uint8)
+    discard(shared)
     return Classes(maps[0].ravel(), maps[1].ravel())
 
 
@@ -180,10 +185,10 @@ def verify(pairs: DataFrame, all_: DataFrame, width: int) -> DataFrame:
     text goes to one task per PER_TASK partners; a task holds one hub's tokens at a time."""
     bounded_batches(all_.sparkSession)
     pairs = materialize(pairs, "jaccard-pairs")
-    busy = few(materialize(pairs.groupBy("a").count().where(F.col("count") > PER_TASK), "jaccard-hubs"))
-    dealt = pairs.join(busy, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.ceil(F.col("count") / PER_TASK)), F.lit(0)).alias("part"))
-    nodes = few(materialize(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct(), "jaccard-nodes"))
-    texts = materialize(all_.select("row", "text").join(nodes, "row", "left_semi"), "jaccard-texts")
+    hubs_ = materialize(pairs.groupBy("a").count().where(F.col("count") > PER_TASK), "jaccard-hubs")
+    dealt = pairs.join(few(hubs_), "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.ceil(F.col("count") / PER_TASK)), F.lit(0)).alias("part"))
+    nodes_ = materialize(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct(), "jaccard-nodes")
+    texts = materialize(all_.select("row", "text").join(few(nodes_), "row", "left_semi"), "jaccard-texts")
     partners = dealt.join(texts, dealt.b == texts.row).select("a", "part", "b", "text")
     hubs = dealt.select("a", "part").distinct().join(texts, F.col("a") == texts.row).select("a", "part", F.lit(-1).cast("long").alias("b"), "text")
 
@@ -204,7 +209,9 @@ def verify(pairs: DataFrame, all_: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], ["a", "b", "both", "either"])
 
     ordered = partners.unionByName(hubs).repartition("a", "part").sortWithinPartitions("a", "part", "b")
-    return materialize(ordered.select("a", "b", "text").mapInArrow(run, "a long, b long, both long, either long"), "jaccard-verified")
+    out = materialize(ordered.select("a", "b", "text").mapInArrow(run, "a long, b long, both long, either long"), "jaccard-verified")
+    discard(pairs, hubs_, nodes_, texts)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -219,10 +226,12 @@ def components(edges: DataFrame) -> DataFrame:
         before = mark
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        old = now
         large = materialize(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "components")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         now = materialize(small.select("u", F.col("m").alias("v")).union(small.where("v > m").select("v", "m")).distinct(), "components")
+        discard(old, large)
     return now.select(F.col("u").alias("x"), F.col("v").alias("c"))
 
 
@@ -230,14 +239,30 @@ def linked(verified: DataFrame, percent: int) -> DataFrame:
     return verified.where(F.col("both") * 100 >= F.col("either") * percent).select("a", "b")
 
 
+def sketched(column: pa.Array) -> np.ndarray:
+    kinds = {BUCKETS: "u1", 2 * BUCKETS: "<u2", 4 * BUCKETS: "<u4"}
+    rows = column.to_pylist()
+    if all(len(r) == BUCKETS for r in rows):
+        return np.frombuffer(b"".join(rows), "u1").reshape(-1, BUCKETS).astype(np.int32)
+    return np.array([np.frombuffer(r, kinds[len(r)]) for r in rows], np.int32).reshape(-1, BUCKETS)
+
+
 def could(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    """Which pairs of sketches (along all but the last axis) may be of linked sets."""
-    most = np.minimum(a, b).sum(axis=-1, dtype=np.int64)
-    return most * 100 >= percent * (a.sum(axis=-1, dtype=np.int64) + b.sum(axis=-1, dtype=np.int64) - most)
+    """Which pairs of sketches (row by row) may be of linked sets."""
+    most = np.minimum(a, b).sum(axis=1, dtype=np.int64)
+    return most * 100 >= percent * (a.sum(axis=1, dtype=np.int64) + b.sum(axis=1, dtype=np.int64) - most)
 
 
-def sketched(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, BUCKETS).astype(np.int32)
+def could_meet(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """The same of each row of a with each of b. The sum of smaller counts is the product of the counts written as runs of
+    ones, exact in single precision; where counts are large, it is taken directly."""
+    levels = int(min(a.max(initial=0), b.max(initial=0)))
+    if levels <= 16 and a.shape[0] * b.shape[0]:
+        ones = lambda k: (k[:, :, None] >= np.arange(1, levels + 1)).reshape(len(k), -1).astype(np.float32)
+        most = (ones(a) @ ones(b).T).astype(np.int64)
+    else:
+        most = np.array([np.minimum(row, b).sum(axis=1, dtype=np.int64) for row in a]).reshape(len(a), len(b))
+    return most * 100 >= percent * (a.sum(axis=1, dtype=np.int64)[:, None] + b.sum(axis=1, dtype=np.int64) - most)
 
 
 def likely(pairs: DataFrame, all_: DataFrame, percent: int) -> DataFrame:
@@ -266,9 +291,9 @@ def between(rest: DataFrame, all_: DataFrame, percent: int, block: int = BLOCK)
         one = np.flatnonzero(part == part.min())
         two = one if (part == part[0]).all() else np.flatnonzero(part != part.min())
         found = []
-        for at in range(0, len(one), 64):
-            some = one[at : at + 64]
-            i, j = np.nonzero((c[some][:, None] != c[two]) & could(k[some][:, None], k[two], percent))
+        for at in range(0, len(one), 256):
+            some = one[at : at + 256]
+            i, j = np.nonzero((c[some][:, None] != c[two]) & could_meet(k[some], k[two], percent))
             found.append(np.stack([x[some[i]], x[two[j]]]))
         a, b = np.concatenate(found, axis=1)
         return np.minimum(a, b), np.maximum(a, b)
@@ -301,14 +326,17 @@ def between(rest: DataFrame, all_: DataFrame, percent: int, block: int = BLOCK)
 def links(posts: DataFrame, all_: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) enough to connect all nodes that any links connect."""
     by = Window.partitionBy("sig")
-    hub = posts.select("*", F.min(F.struct("x", "n")).over(by).alias("h"))
-    near = F.least("n", "h.n") * 100 >= F.greatest("n", "h.n") * percent
-    star = hub.where((F.col("x") != F.col("h.x")) & near).select(F.col("h.x").alias("a"), F.col("x").alias("b")).distinct()
+    ranked = posts.select("*", F.row_number().over(by.orderBy("x")).alias("rank"), F.count("*").over(by).alias("all")).withColumn("hubs", F.when(F.col("all") > CROWD, HUBS).otherwise(1))
+    hubs = ranked.where("rank <= hubs").select("sig", F.col("x").alias("a"), F.col("n").alias("m"))
+    near = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+    star = posts.join(hubs, "sig").where((F.col("x") > F.col("a")) & near).select("a", F.col("x").alias("b")).distinct()
     found = linked(verify(likely(star, all_, percent), all_, width), percent)
-    rest = hub.where("x <> h.x").select("sig", "x").join(components(found), "x", "left").withColumn("c", F.coalesce("c", "x"))
+    rest = ranked.where("rank > hubs").select("sig", "x").join(components(found), "x", "left").withColumn("c", F.coalesce("c", "x"))
     rest = rest.select("*", F.min("c").over(by).alias("c0"), F.max("c").over(by).alias("c1"), F.count("*").over(by).alias("size")).where("c0 <> c1")
     rest = materialize(rest.select("sig", "x", "c", "size"), "jaccard-rest")
-    return found.unionByName(linked(verify(between(rest, all_, percent), all_, width), percent))
+    out = found.unionByName(linked(verify(between(rest, all_, percent), all_, width), percent))
+    discard(rest)
+    return out
 
 
 def grouped(all_: DataFrame, width: int, percent: int, frequent: int = FREQUENT, long: int = LONG) -> DataFrame:
@@ -316,6 +344,7 @@ def grouped(all_: DataFrame, width: int, percent: int, frequent: int = FREQUENT,
     reps = materialize(all_.where("n > 0").groupBy("hi", "lo").agg(F.min("row").alias("x"), F.min("key").alias("least"), F.min("n").alias("n")), "jaccard-reps")
     posts = postings(all_, reps.select("hi", "lo", "x", "n"), classify(all_, frequent), width, percent, long)
     comp = components(links(posts, all_, width, percent))
+    discard(posts)
     named = reps.join(comp, "x", "left").withColumn("c", F.coalesce("c", "x"))
     names = materialize(named.join(comp, "c", "left_semi").groupBy("c").agg(F.min("least").alias("name")), "jaccard-names")
     named = named.join(names, "c", "left").select("hi", "lo", "c", F.coalesce("name", "least").alias("name"))
