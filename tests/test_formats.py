@@ -131,3 +131,12 @@ def test_spark_reads_logs_and_tables(spark, tmp_path):
     assert [bytes(r.key) for r in got] == [e.key for e in entries] and {r.table_id for r in got} == {9}
     assert logs.key_blocks(spark, str(tmp_path)).count() > 5
     assert zlib.crc32(two[4:]) == f.u32(two)
+
+
+def test_reports(spark, tmp_path):
+    from strataframe.sources.reports import read_report, write_report
+
+    rows = [("read, present", 1.5, 3), ('say "hi"\nthere', 0.25, None)]
+    write_report(spark.createDataFrame(rows, "workload string, seconds double, runs long"), str(tmp_path / "out"))
+    got = read_report(spark, str(tmp_path / "out"), "workload string, seconds double, runs long").collect()
+    assert sorted(map(tuple, got)) == sorted(rows)
