@@ -33,7 +33,7 @@ from strataframe.llm.common import BYTE_WORDS, Memo, bounded_batches, materializ
 WINDOW, END_ID = 4096, 2
 #: The table of rank offsets is broadcast up to this many bytes and joined by shuffle beyond.
 BROADCAST_BYTES = 32 << 20
-_words, _parts = Memo(400_000), Memo(600_000)
+_words, _parts = Memo(400_000), Memo(1_000_000)
 _tokenizer: dict = {}
 
 
