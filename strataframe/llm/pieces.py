@@ -1,9 +1,10 @@
 """Sampled segmentations over a SentencePiece vocabulary, and their lossless decoding.
 
-A text is cut into segments, each a run of other characters with the space before it (a further space is a
-segment of its own; one space is put before the text), and further where no piece can span the cut. Over a segment's lattice of pieces the forward filter sums
+A text is cut into segments, each a run of other characters with all spaces before it (one space is put before the
+text), and further where no piece can span the cut: pieces may be of several spaces. Over a segment's lattice of pieces the forward filter sums
 the weights of all ways to each place; the backward sampler then draws pieces from the end, each in
-proportion to the weight of the ways through it. Weights follow the pieces' ranks: (rank + 10) ** -theta.
+proportion to the weight of the ways through it. Weights follow the pieces' ranks: (rank + 10) ** -theta. A score
+that is no rank (pieces of several spaces have -1e9) is replaced by the piece's place in the vocabulary.
 Every draw is a hash of seed, row key, segment and step: neither partitions nor retries change a result.
 
 Characters that no piece spells, and a literal block mark, go through the byte pieces, so that decoding gives
@@ -32,14 +33,17 @@ from strataframe.llm.common import GOLDEN, bounded_batches, mix, runs
 BLOCK, THETA, SEED = "▁", 1.5, 0
 STEP = np.uint64(0xD1342543DE82EF95)
 MASK, HIGH = (1 << 22) - 1, np.uint64(42)
-#: Runs with the space before them.
-SEGMENTS = re.compile(" ?[^ ]+| ").findall
+#: Runs with the spaces before them.
+SEGMENTS = re.compile(" *[^ ]+| +").findall
 
 
 def cutter(names):
-    """Cuts a text into segments: between letters and others too, if no piece mixes them."""
-    mixed = regex.compile(rf"{BLOCK}?(?:\p{{L}}+|[^\p{{L}} ]+)?").fullmatch
-    return regex.compile(r" ?\p{L}+| ?[^\p{L} ]+| ").findall if all(map(mixed, names)) else SEGMENTS
+    """Cuts a text into segments: between letters and others too, if no piece mixes them; not at all, if a piece has a
+    space behind another character."""
+    if any(BLOCK in n.lstrip(BLOCK) for n in names):
+        return lambda text: [text]
+    one_kind = regex.compile(rf"{BLOCK}*(?:\p{{L}}+|[^\p{{L}} ]+)?").fullmatch
+    return regex.compile(r" *\p{L}+| *[^\p{L} ]+| +").findall if all(map(one_kind, names)) else SEGMENTS
 
 
 class Lattices:
@@ -59,14 +63,15 @@ class Lattices:
             if sp.is_byte(i):
                 self.byte[int(name[3:5], 16)] = i
                 self.spelt[i] = bytes([int(name[3:5], 16)])
-            elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)) and BLOCK not in name[1:]:
+            elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 names[name] = i
                 self.spelt[i] = name.replace(BLOCK, " ").encode()
         spelt = [b or b"" for b in self.spelt]
         self.bytes = np.frombuffer(b"".join(spelt), np.uint8)
         self.n_bytes = np.fromiter(map(len, spelt), np.int64, len(spelt))
         self.first_byte = np.cumsum(self.n_bytes) - self.n_bytes
-        ranks = np.array([max(0.0, -sp.get_score(i)) for i in names.values()])
+        place = min(names.values())
+        ranks = np.array([max(0.0, -sp.get_score(i)) if -sp.get_score(i) <= sp.vocab_size() else i - place for i in names.values()])
         self.longest = max(map(len, names))
         self.cut = cutter(names)
         self.least = -theta * np.log(10.0 + sp.vocab_size())
@@ -111,7 +116,7 @@ class Lattices:
         size = np.fromiter(map(len, segments), np.int64, len(segments))
         first = np.cumsum(size) - size
         code = np.where(plain == ord(BLOCK), np.uint64(0x110000), plain)
-        code[first[plain[first] == 32]] = ord(BLOCK)
+        code[plain == 32] = ord(BLOCK)
         place = runs(size)
         node = np.arange(len(code)) + np.repeat(np.arange(len(segments)), size)  # where each character begins
         left = np.repeat(size, size) - place

@@ -53,6 +53,35 @@ def test_samples_follow_the_lattice(word):
     assert all(abs(got[k] / 20000 - v / total) < 0.02 for k, v in want.items()) and set(got) <= set(want)
 
 
+def test_pieces_of_several_spaces():
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    texts = ["def f():\n   return 1", "  a  b" + " " * 40 + "c   ", " ", "   ", "if x:\n        y = 2\n\n\n    z\t  1", "|  a   |    2 |"]
+    assert [LATTICES.decode(np.array(sp.encode(t), np.int64)) for t in texts] == texts
+    several = {i for i in range(sp.vocab_size()) if "▁▁" in sp.id_to_piece(i)}
+    assert len(several) == 14 and several <= set(LATTICES.ids.tolist())
+    drawn = LATTICES.sample(texts * 200, list(map(str, range(200 * len(texts)))))
+    assert [LATTICES.decode(x) for x in drawn] == texts * 200
+    assert len(several.intersection(*[np.concatenate(drawn).tolist()])) >= 10
+
+
+@pytest.mark.parametrize("text", ["  a", "a   b", "a    "])
+def test_samples_follow_the_lattice_of_spaces(text):
+    spelt = {LATTICES.spelt[i].decode(): (int(i), math.exp(w)) for i, w in zip(LATTICES.ids, LATTICES.logw)}
+    want, whole = Counter({((), 0): 1.0}), " " + text
+    for at in range(len(whole)):
+        for (ids, end), v in list(want.items()):
+            if end == at:
+                for k in range(at + 1, len(whole) + 1):
+                    if whole[at:k] in spelt:
+                        i, w = spelt[whole[at:k]]
+                        want[(*ids, i), k] += v * w
+    want = {ids: v for (ids, end), v in want.items() if end == len(whole)}
+    got = Counter(tuple(x.tolist()) for x in LATTICES.sample([text] * 20000, list(map(str, range(20000)))))
+    assert all(abs(got[k] / 20000 - v / sum(want.values())) < 0.02 for k, v in want.items()) and set(got) <= set(want)
+
+
 def test_pieces_odd_rows(spark):
     df = spark.createDataFrame([(*r, 1) for r in ODD], "doc_id long, text string, ids int, key int")
     rows = pieces.decode(pieces.encode(df, PIECES), PIECES).collect()
