@@ -135,6 +135,37 @@ def test_rules_odd_rows(spark):
     assert rules.judge(df.limit(0), VOCAB).count() == 0
 
 
+CLEAN = {
+    "gujarati": "પ્રતિષ્ઠા અને અધિકારોની દૃષ્ટિએ સર્વ માનવો જન્મથી સ્વતંત્ર અને સમાન હોય છે તેમનામાં વિચારશક્તિ અને અંતઃકરણ હોય છે",
+    "gurmukhi": "ਸਾਰਾ ਮਨੁੱਖੀ ਪਰਿਵਾਰ ਆਪਣੀ ਮਹਿਮਾ ਸ਼ਾਨ ਅਤੇ ਹੱਕਾਂ ਦੇ ਪੱਖੋਂ ਜਨਮ ਤੋਂ ਹੀ ਆਜ਼ਾਦ ਹੈ",
+    "malayalam": "മനുഷ്യരെല്ലാവരും തുല്യാവകാശങ്ങളോടും അന്തസ്സോടും സ്വാതന്ത്ര്യത്തോടുംകൂടി ജനിച്ചിട്ടുള്ളവരാണ് അന്യോന്യം ഭ്രാതൃഭാവത്തോടെ പെരുമാറുവാനാണ് മനുഷ്യന് വിവേകബുദ്ധിയും മനസ്സാക്ഷിയും സിദ്ധമായിരിക്കുന്നത്",
+    "telugu": "ప్రతిపత్తిస్వత్వముల విషయమున మానవులెల్లరును జన్మతః స్వతంత్రులును సమానులును నగుదురు వారు వివేదనాంతఃకరణ సంపన్నులగుటచే పరస్పరము భ్రాతృభావముతో వర్తింపవలయును",
+    "sinhala": "සියලු මනුෂ්‍යයෝ නිදහස්ව උපත ලබා ඇත ගරුත්වයෙන් හා අයිතිවාසිකම්වලින් සමාන වෙති",
+    "lao": "ມະນຸດ ທຸກຄົນ ເກີດມາ ມີກຽດສັກສີ ສິດທິ ເສລີພາບ ແລະ ຄວາມສະເໝີພາບ ເທົ່າທຽມກັນ ທຸກໆຄົນ ມີເຫດຜົນ",
+    "ethiopic": "የሰው ልጅ ሁሉ ሲወለድ ነጻና በክብርና በመብትም እኩልነት ያለው ነው",
+    "kannada": "ಎಲ್ಲಾ ಮಾನವರೂ ಸ್ವತಂತ್ರರಾಗಿಯೇ ಜನಿಸಿದ್ದಾರೆ ಹಾಗೂ ಘನತೆ ಮತ್ತು ಹಕ್ಕುಗಳಲ್ಲಿ ಸಮಾನರಾಗಿದ್ದಾರೆ ವಿವೇಕ ಮತ್ತು ಅಂತಃಕರಣ",
+    "myanmar": "လူတိုင်းသည် တူညီ လွတ်လပ်သော ဂုဏ်သိက္ခာဖြင့် လည်းကောင်း တူညီလွတ်လပ်သော အခွင့်အရေးများဖြင့် လည်းကောင်း မွေးဖွားလာသူများ ဖြစ်သည် ထိုသူတို့၌ ပိုင်းခြား",
+    "other": "ᏂᎦᏓ ᎠᏂᏴᏫ ᏂᎨᎫᏓᎸᎾ ᎠᎴ ᎤᏂᏠᏱ ᎤᎾᏕᎿ ᏚᏳᎧᏛ ᎨᏒᎢ ᎨᏥᏁᎳ ᎤᎾᏓᏅᏖᏗ ᎠᎴ ᎤᏃᏟᏍᏗ",
+}
+
+
+def test_clean_text_of_any_script_stays():
+    import random
+
+    vocab = rules.vocabularies(*VOCAB)
+    for script, text in CLEAN.items():
+        words = text.split()
+        rnd = random.Random(1)
+        long = " ".join("".join(rnd.sample(rnd.choice(words), 1) + [rnd.choice(words)]) for _ in range(4000))
+        out = rules.measure([text, f"{text} word", long], vocab)
+        assert out["script"].tolist() == [script] * 3
+        assert out["kept"][:2].all(), (script, out)
+        fine = vocab.bands[script]
+        assert out["entropy_share"][2] >= fine[3] and out["fallback_share"][2] <= fine[2], (script, out)
+    junk = rules.measure(["q w e r t a b c d f g h " + "\U0001f600" * 60, "one two three four five six seven eight nine ten " + "\U0001f600 " * 3 + "\U0001f4a9" * 200], vocab)
+    assert junk["script"].tolist() == ["latin"] * 2 and not junk["kept"].any()
+
+
 def test_quotes():
     text = "Hi Bob,\n\nOn Monday Ann wrote:\n> first line\n>  second line\n> > deeper\n>\n> back\n\nMy answer\n"
     own, quotes = chat.parse(text)
