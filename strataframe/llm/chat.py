@@ -2,9 +2,11 @@
 
 A message's lines are parsed into quote levels (`>`, `> >`, ...); neighbouring lines of one level are a passage, and
 a line that only announces a quote ("... wrote:") goes with it. Passages are normalised (case, white space, edge
-punctuation) and hashed; so are the bodies, paragraphs and lines that messages hold unquoted. A quote
+punctuation) and hashed, and with them their paragraphs and lines; so are the bodies, paragraphs and lines that messages
+hold unquoted, and their runs of as many lines as some passage or paragraph of a quote has. A quote
 of level k points at the earliest message that holds its passage itself: in the same conversation if there is one, else
-anywhere. The parent of a message is the latest earlier message that its outermost quotes point at; without one,
+anywhere; if none holds all of it, its longest paragraph or line that the conversation holds counts, else the
+longest held anywhere. Part of a line is found only where it is all that the line has. The parent of a message is the latest earlier message that its outermost quotes point at; without one,
 the turn before it in its conversation. So a parent always comes before its child in the order of
 (conversation, turn), links make trees, and each tree is a conversation: root and depth follow from
 pointer jumping, whose rounds grow with the logarithm of the longest chain.
@@ -15,13 +17,13 @@ hold joins that one row. Masses of replies to one message are rows of the side t
 Defined results: null text is empty; messages whose conversation or turn is null are roots that nothing
 points at; of rows with equal conversation and turn the first stands for all as a parent; a turn missing
 before a message makes it a root, unless it quotes; passages under SHORTEST characters after normalising
-link nothing; repeated rows stay; an empty table gives no rows; only the named columns are read.
+link within their conversation only, those of no characters nowhere; repeated rows stay; an empty table gives no rows; only the named columns are read.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -66,10 +68,23 @@ def parse(text: str | None) -> tuple[str, list[tuple[int, str]]]:
     return "\n".join(own).strip("\n"), [(k, "\n".join(x).strip("\n")) for k, x in quotes if any(map(str.strip, x))]
 
 
-def holds(own: str) -> set[str]:
-    """What a quote of this text may repeat, normalised: all of it, its paragraphs, its lines."""
-    found = {normal(x) for x in (own, *re.split(r"\n\s*\n", own), *own.split("\n"))}
-    return {x for x in found if len(x) >= SHORTEST}
+def lines(passage: str) -> list[str]:
+    return [x for x in passage.split("\n") if x.strip()]
+
+
+def holds(own: str, sizes: Iterable[int] = (), least: int = SHORTEST) -> set[str]:
+    """What a quote of this text may repeat, normalised: all of it, its paragraphs, its lines, runs of so many lines."""
+    each = lines(own)
+    some = ("\n".join(each[i : i + n]) for n in sizes for i in range(len(each) - n + 1))
+    found = {normal(x) for x in (own, *re.split(r"\n\s*\n", own), *own.split("\n"), *some)}
+    return {x for x in found if len(x) >= least}
+
+
+def units(passage: str) -> dict[str, tuple[bool, int]]:
+    """What is looked up of a quote, normalised: all of it, its paragraphs, its lines; whether it is all, and of how many lines."""
+    parts = [passage, *re.split(r"\n\s*\n", passage), *passage.split("\n")]
+    whole = normal(passage)
+    return {u: (u == whole, len(lines(x))) for x in reversed(parts) if (u := normal(x))}
 
 
 def key(passage: str) -> bytes:
@@ -77,35 +92,53 @@ def key(passage: str) -> bytes:
 
 
 def parsed(messages: DataFrame, conv: str, turn: str, text: str) -> DataFrame:
-    """Written: row, conv, turn, own text, quotes (level, hash) and hashes of what the message holds."""
+    """Written: row, conv, turn, own text and quotes (level and units: hash, whether it is all, characters, lines)."""
     bounded_batches(messages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, quotes, held = [], [], []
+            own, quotes = [], []
             for t in batch.column(2).to_pylist():
                 body, passages = parse(t)
                 own.append(body)
-                quotes.append([{"level": k, "hash": key(normal(p))} for k, p in passages if len(normal(p)) >= SHORTEST])
-                held.append([key(x) for x in holds(body)])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], batch.column(3), pa.array(own, pa.string()), pa.array(quotes, pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.binary())]))), pa.array(held, pa.list_(pa.binary()))], ["conv", "turn", "role", "own", "quotes", "held"])
+                quotes.append([{"level": k, "units": [{"hash": key(u), "whole": w, "size": len(u), "lines": n} for u, (w, n) in units(p).items()]} for k, p in passages if normal(p)])
+            unit = pa.struct([("hash", pa.binary()), ("whole", pa.bool_()), ("size", pa.int32()), ("lines", pa.int32())])
+            kind = pa.list_(pa.struct([("level", pa.int32()), ("units", pa.list_(unit))]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], batch.column(3), pa.array(own, pa.string()), pa.array(quotes, kind)], ["conv", "turn", "role", "own", "quotes"])
 
     rows = messages.select(F.col(conv).cast("long").alias("conv"), F.col(turn).cast("long").alias("turn"), F.col(text).alias("text"), F.col("role").cast("string").alias("role") if "role" in messages.columns else F.lit(None).cast("string").alias("role"))
-    made = rows.mapInArrow(run, "conv long, turn long, role string, own string, quotes array<struct<level:int,hash:binary>>, held array<binary>")
+    made = rows.mapInArrow(run, "conv long, turn long, role string, own string, quotes array<struct<level:int,units:array<struct<hash:binary,whole:boolean,size:int,lines:int>>>>")
     return materialize(made.withColumn("row", F.monotonically_increasing_id()), "chat-parsed")
 
 
+def held_by(rows: DataFrame, sizes: list[int]) -> DataFrame:
+    """conv, turn, row and the hash of each thing that a message holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[key(x) for x in holds(t or "", sizes, 1)] for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.binary()))], ["conv", "turn", "row", "held"])
+
+    own = rows.where("conv is not null and turn is not null").select("conv", "turn", "row", "own")
+    return own.mapInArrow(run, "conv long, turn long, row long, held array<binary>").select("conv", "turn", "row", F.explode("held").alias("hash"))
+
+
 def parents(rows: DataFrame) -> DataFrame:
     """row and up (conv, turn, row of the parent) of each message that has one."""
-    quotes = materialize(rows.where("conv is not null and turn is not null").select("row", "conv", "turn", F.explode("quotes").alias("q")).select("row", "conv", "turn", "q.level", "q.hash"), "chat-quotes")
+    quotes = rows.where("conv is not null and turn is not null").select("row", "conv", "turn", F.posexplode("quotes").alias("place", "q"))
+    quotes = materialize(quotes.select("row", "conv", "turn", "place", "q.level", F.explode("q.units").alias("u")).select("row", "conv", "turn", "place", "level", "u.*"), "chat-quotes")
+    sizes = sorted(r.lines for r in quotes.where("lines > 1").select("lines").distinct().collect())
     me = F.struct("conv", "turn", "row")
-    held = rows.where("conv is not null and turn is not null").select("conv", "turn", "row", F.explode("held").alias("hash")).join(quotes.select("hash").distinct(), "hash", "left_semi")
+    held = held_by(rows, sizes).join(quotes.select("hash").distinct(), "hash", "left_semi")
     inside = held.groupBy("hash", "conv").agg(F.min(me).alias("inside"))
     inside = materialize(inside, "chat-held")
     anywhere = inside.groupBy("hash").agg(F.min("inside").alias("anywhere"))
     met = quotes.join(inside, ["hash", "conv"], "left").join(anywhere, "hash", "left")
     before = lambda c: F.when(F.struct(F.col(f"{c}.conv"), F.col(f"{c}.turn")) < F.struct("conv", "turn"), F.col(c))
-    met = met.select("row", "level", F.coalesce(before("inside"), before("anywhere")).alias("up")).where("up is not null")
+    near, far = before("inside"), F.when(F.col("size") >= SHORTEST, before("anywhere"))
+    rank = F.when(F.col("whole"), 2).when(near.isNotNull(), 1).otherwise(0)
+    met = met.select("row", "place", "level", F.struct(rank.alias("rank"), "size", F.coalesce(near, far).alias("up")).alias("best")).where("best.up is not null")
+    met = met.groupBy("row", "place", "level").agg(F.max("best").alias("best")).select("row", "level", "best.up")
     quoted = met.groupBy("row").agg(F.max(F.struct((-F.col("level")).alias("near"), "up")).alias("best")).select("row", F.col("best.up").alias("quoted"))
     firsts = rows.where("conv is not null and turn is not null").groupBy("conv", "turn").agg(F.min("row").alias("row"))
     last = firsts.select("conv", (F.col("turn") + 1).alias("turn"), F.struct("conv", "turn", "row").alias("last"))

@@ -219,6 +219,29 @@ def test_threads(spark):
     assert chat.link(df.limit(0)).count() == 0
 
 
+def test_trimmed_and_short_quotes(spark):
+    body = "The first line of it\nthe second line follows\nand a third line ends.\n\nAnother paragraph here\n\nYes, I do.\n\nThe fourth paragraph says more\n\nThe fifth one closes"
+    lines = [x for x in body.split("\n") if x]
+    runs = [lines[i:j] for i in range(len(lines)) for j in range(i + 1, len(lines) + 1)]
+    rows = [(1, 0, body), (1, 1, "Something else entirely"), (1, 2, "No line of the first")]
+    rows += [(1, 10 + 2 * k, "\n".join(f"> {x}" for x in run) + "\nan answer") for k, run in enumerate(runs)]
+    rows += [(2, 5 + 2 * k, "\n".join(f"> {x}" for x in run) + "\nan answer") for k, run in enumerate(runs)]
+    rows += [(1, 900, "> Yes, I did.\nno such line"), (1, 902, "> The first line of it\n> [...]\n> The fifth one closes\nparts"), (1, 904, "> Something else entirely\n> words of nobody\nparts")]
+    rows += [(1, 906, "> The first line\n> of it the second line follows and a third line ends.\nwrapped anew")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, text string")
+    got = {(r.conv_id, r.turn): r for r in chat.link(df).collect()}
+    whole = [(c, t, chat.normal(chat.parse(x)[0])) for c, t, x in rows]
+    for c, t, x in rows[3:-4]:
+        quote = chat.normal(chat.parse(x)[1][0][1])
+        held = [(a, b) for a, b, own in whole if quote in own and (a, b) < (c, t) and (len(quote) >= chat.SHORTEST or a == c)]
+        want = min(held) if held else None
+        r = got[c, t]
+        assert ((r.parent_conv, r.parent_turn) if r.by_quote else None) == want, (c, t, quote)
+        assert r.n_quotes == 1
+    assert not got[1, 900].by_quote
+    assert [(got[1, t].by_quote, got[1, t].parent_turn) for t in (902, 904, 906)] == [(True, 0), (True, 1), (True, 0)]
+
+
 def test_url_verdicts(spark, sf, tmp_path):
     import random
 
