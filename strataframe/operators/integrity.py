@@ -14,13 +14,54 @@ def overlaps(a_min: Column, a_max: Column, b_min: Column, b_max: Column) -> Colu
     return ~((a_max < b_min) | (b_max < a_min))
 
 
+def buckets(tables: DataFrame, rows: int, low: str) -> DataFrame:
+    """One row: bounds of buckets of some hundred tables each, as sorted arrays of `_wide` bounds in `_bounds`."""
+    step = max(256, rows >> 16)
+    drawn = tables.where(F.pmod(F.xxhash64(low), F.lit(step)) == 0).agg(F.array_sort(F.collect_set(low)).alias("_all"))
+    wide = F.greatest(F.ceil(F.sqrt(F.size("_all"))), F.lit(1)).cast("int")
+    drawn = drawn.select("_all", wide.alias("_wide"))
+    chunk = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size("_all") - 1, F.lit(0)) / F.col("_wide")).cast("int")), lambda i: F.slice("_all", i * F.col("_wide") + 1, F.col("_wide")))
+    return F.broadcast(drawn.select("_wide", chunk.alias("_bounds")))
+
+
+def bucket(key: Column) -> Column:
+    """The number of bounds up to the key, null for a null key: those of the chunks before, then of its own."""
+    chunks = F.size(F.filter("_bounds", lambda b: F.get(b, F.lit(0)) <= key))
+    own = F.size(F.filter(F.get("_bounds", chunks - 1), lambda b: b <= key))
+    return F.when(key.isNotNull(), F.when(chunks > 0, (chunks - 1) * F.col("_wide") + own).otherwise(0))
+
+
+def dealt(tables: DataFrame, bounds: DataFrame, low: str, high: str) -> DataFrame:
+    """A row per bucket that the range covers, its own first one in `_first`."""
+    out = tables.crossJoin(bounds).withColumn("_first", bucket(F.col(low))).withColumn("_last", bucket(F.col(high))).drop("_bounds", "_wide")
+    return out.withColumn("_bucket", F.explode(F.sequence("_first", F.greatest("_first", "_last")))).drop("_last")
+
+
+def held_keys(keys: DataFrame, tables: DataFrame, key: str, low: str, high: str, how: str, most: int) -> DataFrame:
+    """Keys joined to the ranges that hold them: broadcast up to `most` ranges, else by shuffled buckets."""
+    inside = (F.col(key) >= F.col(low)) & (F.col(key) <= F.col(high))
+    rows = tables.count()
+    if rows <= most:
+        return keys.join(F.broadcast(tables), inside, how)
+    bounds = buckets(tables, rows, low)
+    left = keys.crossJoin(bounds).withColumn("_key_bucket", bucket(F.col(key))).drop("_bounds", "_wide")
+    right = dealt(tables.where(F.col(low).isNotNull() & F.col(high).isNotNull()), bounds, low, high).drop("_first")
+    out = left.join(right.hint("merge"), (F.col("_key_bucket") == F.col("_bucket")) & inside, how)
+    return out.drop("_key_bucket", "_bucket")
+
+
 def overlap_pairs(tables: DataFrame, level: str = "level", id_: str = "table_id", low: str = "min_key", high: str = "max_key", most: int = 100_000) -> DataFrame:
-    """Pairs (upper, lower) of overlapping tables in neighbouring levels. A manifest's rows are few; its count is checked."""
-    if tables.count() > most:
-        raise ValueError(f"a manifest of more than {most} tables")
-    up, down = tables.alias("u"), F.broadcast(tables).alias("d")
+    """Pairs (upper, lower) of overlapping tables in neighbouring levels. Up to `most` tables are broadcast; more meet in
+    shuffled buckets of keys, each pair in the bucket where the later of the two begins."""
+    rows = tables.count()
     meet = overlaps(F.col(f"u.{low}"), F.col(f"u.{high}"), F.col(f"d.{low}"), F.col(f"d.{high}"))
-    return up.join(down, (F.col(f"u.{level}") + 1 == F.col(f"d.{level}")) & meet).select(F.col(f"u.{id_}").alias("upper"), F.col(f"d.{id_}").alias("lower"))
+    meet = (F.col(f"u.{level}") + 1 == F.col(f"d.{level}")) & meet
+    pair = F.col(f"u.{id_}").alias("upper"), F.col(f"d.{id_}").alias("lower")
+    if rows <= most:
+        return tables.alias("u").join(F.broadcast(tables).alias("d"), meet).select(*pair)
+    some = dealt(tables.select(level, id_, low, high).where(F.col(low).isNotNull() & F.col(high).isNotNull()), buckets(tables, rows, low), low, high)
+    own = (F.col("u._bucket") == F.col("d._bucket")) & (F.col("u._bucket") == F.greatest("u._first", "d._first"))
+    return some.alias("u").join(some.hint("merge").alias("d"), own & meet).select(*pair)
 
 
 def disjoint(tables: DataFrame, level: str = "level", id_: str = "table_id", low: str = "min_key", high: str = "max_key") -> DataFrame:
@@ -30,9 +71,9 @@ def disjoint(tables: DataFrame, level: str = "level", id_: str = "table_id", low
     return tables.withColumn("disjoint", before.isNull() | (before < F.col(low)))
 
 
-def droppable(keys: DataFrame, deeper: DataFrame, key: str = "key", low: str = "min_key", high: str = "max_key") -> DataFrame:
-    """Tombstones whose key no deeper table may hold; deeper: manifest rows, few."""
-    return keys.join(F.broadcast(deeper.select(low, high)), (F.col(key) >= F.col(low)) & (F.col(key) <= F.col(high)), "left_anti")
+def droppable(keys: DataFrame, deeper: DataFrame, key: str = "key", low: str = "min_key", high: str = "max_key", most: int = 100_000) -> DataFrame:
+    """Tombstones whose key no deeper table may hold; deeper: manifest rows."""
+    return held_keys(keys, deeper.select(low, high), key, low, high, "left_anti", most)
 
 
 def orphans(files: DataFrame, manifest: DataFrame, id_: str = "table_id") -> DataFrame:
@@ -80,6 +121,6 @@ def increasing(entries: DataFrame, table: str = "table_id", key: str = "key", pl
     return entries.withColumn("_before", F.lag(key).over(w)).where(F.col("_before") >= F.col(key)).select(table).distinct()
 
 
-def candidate_table(keys: DataFrame, level: DataFrame, key: str = "key", low: str = "min_key", high: str = "max_key") -> DataFrame:
-    """For each key, the table of a disjoint level that may hold it; level: manifest rows, few."""
-    return keys.join(F.broadcast(level), (F.col(key) >= F.col(low)) & (F.col(key) <= F.col(high)), "left")
+def candidate_table(keys: DataFrame, level: DataFrame, key: str = "key", low: str = "min_key", high: str = "max_key", most: int = 100_000) -> DataFrame:
+    """For each key, the table of a disjoint level that may hold it; level: manifest rows."""
+    return held_keys(keys, level, key, low, high, "left", most)

@@ -80,3 +80,24 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["put", "b", "2"], s) == 0 and main(["compact"], s) == 0 and main(["scan"], s) == 0
     assert "b\t2" in capsys.readouterr().out
     assert main(["stats"], s) == 0
+
+
+@pytest.mark.parametrize("kind", ["long", "string", "binary"])
+def test_range_joins_beyond_the_broadcast_bound(spark, kind):
+    import random
+
+    from strataframe.operators import integrity
+
+    rnd = random.Random(1)
+    made = {"long": int, "string": lambda x: f"{x:06d}", "binary": lambda x: x.to_bytes(4, "big")}[kind]
+    ranges = [(i, i % 3, a, a + rnd.choice([0, 3, 40, 5000])) for i in range(6000) for a in [rnd.randint(0, 99_999)]]
+    ranges += [(6000, 1, 0, 99_999), (6001, 2, 7, 7), (6001, 2, 7, 7), (6002, 1, None, 5), (6003, 1, 5, None)]
+    tables = spark.createDataFrame([(i, n, *(None if x is None else made(min(x, 999_999)) for x in r)) for i, n, *r in ranges], f"table_id long, level int, min_key {kind}, max_key {kind}")
+    keys = spark.createDataFrame([(None,), *((made(rnd.randint(0, 199_999)),) for _ in range(300))], f"key {kind}")
+    deeper = tables.where("table_id < 300 or table_id > 6000")
+    plan = integrity.overlap_pairs(tables, most=10)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
+    for f in (lambda most: integrity.overlap_pairs(tables.where("table_id < 2000 or table_id > 5999"), most=most), lambda most: integrity.droppable(keys, deeper, most=most), lambda most: integrity.candidate_table(keys, deeper, most=most)):
+        few, many = f(10**6), f(10)
+        assert few.columns == many.columns and few.count() > 0
+        assert sorted(map(repr, few.collect())) == sorted(map(repr, many.collect()))
