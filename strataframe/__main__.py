@@ -1,4 +1,4 @@
-"""python -m strataframe [--root DIR] get KEY | put KEY VALUE | delete KEY | scan [BEGIN [END]] | compact | stats | serve [PORT]
+"""python -m strataframe [--root DIR] [--engine layered|log|memory] get KEY | put KEY VALUE | delete KEY | scan [BEGIN [END]] | compact | stats | serve [PORT]
 
 Exit 0: done; 1: no such key; 2: error."""
 
@@ -10,8 +10,10 @@ import threading
 
 from pyspark.sql import SparkSession
 
-from strataframe.model import Code, StoreError
+from strataframe.model import Code, StoreError, invalid
 from strataframe.plans.layered import LayeredStore
+from strataframe.plans.logstore import LogStore
+from strataframe.plans.memory import MemoryStore
 
 
 def session() -> SparkSession:
@@ -22,28 +24,40 @@ def session() -> SparkSession:
     return spark
 
 
+def opened(engine: str, root: str, writer: bool = True):
+    """A store of the engine; those on disk may be opened to read only."""
+    if engine == "memory":
+        return MemoryStore()
+    if engine not in ("layered", "log"):
+        raise invalid(f"unknown engine {engine}")
+    return (LayeredStore if engine == "layered" else LogStore)(session(), root, writer=writer)
+
+
 def main(args: list[str], store: LayeredStore | None = None) -> int:
-    root = "strataframe-data"
-    if args[:1] == ["--root"] and len(args) > 1:
-        root, args = args[1], args[2:]
+    flags = {"--root": "strataframe-data", "--engine": "layered"}
+    while args and args[0] in flags and len(args) > 1:
+        flags[args[0]], args = args[1], args[2:]
     counts = {"get": (1, 1), "put": (2, 2), "delete": (1, 1), "scan": (0, 2), "compact": (0, 0), "stats": (0, 0), "serve": (0, 1)}
     if not args or args[0] not in counts or not counts[args[0]][0] <= len(args) - 1 <= counts[args[0]][1]:
         print(__doc__, file=sys.stderr)
         return 2
     op, *rest = args
     try:
-        store = store or LayeredStore(session(), root)
+        store = store or opened(flags["--engine"], flags["--root"], writer=op not in ("get", "scan", "stats"))
         raw = [x.encode() for x in rest]
         if op == "scan":
+            if not hasattr(store, "iterator"):
+                raise invalid("this engine has no scans")
             for k, v in store.iterator(*raw):
                 print(f"{k.decode(errors='replace')}\t{v.decode(errors='replace')}")
             return 0
         if op == "compact":
-            store.flush()
-            print(store.compact())
+            if isinstance(store, LayeredStore):
+                store.flush()
+            print(int(store.compact()))
             return 0
         if op == "stats":
-            print(json.dumps(store.stats()))
+            print(json.dumps(store.stats() if isinstance(store, LayeredStore) else {"files": store.file_count(), "bytes": store.total_disk_size()}))
             return 0
         if op == "serve":
             from strataframe.sources.wire import Service
@@ -54,16 +68,19 @@ def main(args: list[str], store: LayeredStore | None = None) -> int:
                 threading.Event().wait()
             finally:
                 service.stop()
-                store.flush()
+                if isinstance(store, LayeredStore):
+                    store.flush()
             return 0
         if op == "get":
             status, value = store.get(raw[0])
             if status.is_ok:
                 print(value.decode(errors="replace"))
         elif op == "put":
-            status = store.put(raw[0], raw[1], sync=True)
+            status = store.put(raw[0], raw[1])
         else:
-            status = store.remove(raw[0], sync=True)
+            status = store.remove(raw[0])
+        if isinstance(store, LayeredStore) and op != "get":
+            store.sync()
     except StoreError as e:
         status = e.status
     if status.is_ok:

@@ -6,20 +6,25 @@ The driver's tables stand for stores: `events` is a change log (key user_id, ord
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from strataframe.functions import scalars
-from strataframe.model import Options, Tombstones
+from strataframe.model import Code, Options, Status, Tombstones
 from strataframe.operators import integrity, resolve, stats
-from strataframe.plans.layered import LayeredStore
+from strataframe.plans.layered import LayeredStore, scanned_rows
 from strataframe.plans.logstore import LogStore
+from strataframe.plans.memory import LockedStore, MemoryStore
 from strataframe.plans.shared import shared_path
-from strataframe.sources import formats, wire
-from strataframe.streaming.ingest import ingest, latest_state
+from strataframe.sources import formats, logs, wire
+from strataframe.sources.reports import read_report, write_report
+from strataframe.streaming.ingest import ingest, latest_state, source_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -56,6 +61,7 @@ def text(key: str = "key", value: str = "value") -> list[Column]:
 
 
 NEWEST = "SELECT user_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value, arg_max(props, event_id) AS props, max(event_id) AS event_id FROM events GROUP BY user_id"
+HALF = NEWEST.replace("FROM events", "FROM (SELECT * FROM events WHERE event_id <= (SELECT max(event_id) // 2 FROM events))")
 LIVE_PROPS = f"SELECT user_id, props FROM ({NEWEST}) WHERE NOT ({DEAD})"
 
 
@@ -93,10 +99,10 @@ def range_scan(spark, sf_dir):
     return resolve.scan(store, "Customer#000000100", "Customer#000000200", "c_name", "c_custkey").select("c_name", "c_custkey")
 
 
-@query("SELECT c_name, c_custkey FROM customer WHERE false")
+@query("SELECT count(*) FILTER (c_name >= 'Xray' AND c_name < 'Zulu') AS keys, 'OK' AS status FROM customer")
 def empty_range(spark, sf_dir):
     store = table(spark, sf_dir, "customer").withColumn("tombstone", F.lit(False))
-    return resolve.scan(store, "Xray", "Zulu", "c_name", "c_custkey").select("c_name", "c_custkey")
+    return resolve.scan(store, "Xray", "Zulu", "c_name", "c_custkey").agg(F.count("*").alias("keys"), F.lit("OK").alias("status"))
 
 
 @query("""SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 4 DESC, o_orderkey DESC) AS r FROM orders)
@@ -115,9 +121,14 @@ def layer_lookup(spark, sf_dir):
     return resolve.lookup(layer, orders.select("o_custkey").distinct(), "o_custkey").select("o_custkey", "lookup")
 
 
-@query(f"SELECT user_id, value FROM ({NEWEST.replace('FROM events', 'FROM (SELECT * FROM events WHERE event_id <= 400)')}) WHERE NOT ({DEAD})")
+def half(spark: SparkSession, sf_dir: str) -> int:
+    """A version of the log: half of its writes."""
+    return events(spark, sf_dir).agg(F.max("event_id")).first()[0] // 2
+
+
+@query(f"SELECT user_id, value FROM ({HALF}) WHERE NOT ({DEAD})")
 def snapshot_read(spark, sf_dir):
-    return resolve.latest(resolve.as_of(events(spark, sf_dir), 400, "event_id"), "user_id", "event_id").select("user_id", "value")
+    return resolve.latest(resolve.as_of(events(spark, sf_dir), half(spark, sf_dir), "event_id"), "user_id", "event_id").select("user_id", "value")
 
 
 @query(f"""SELECT event_id // 256 AS file_id, CAST(sum(CASE WHEN nxt IS NOT NULL OR {DEAD} THEN size ELSE 0 END) AS BIGINT) AS dead_bytes, CAST(sum(size) AS BIGINT) AS total_bytes FROM
@@ -163,9 +174,19 @@ def candidate_table(spark, sf_dir):
     return integrity.candidate_table(keys, level, "l_orderkey").select("l_orderkey", "table_id")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 16 = 0)")
 def orphan_sweep(spark, sf_dir):
-    return integrity.orphans(table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")
+    """Files (customers) that no manifest row (each 16th order) names."""
+    named = table(spark, sf_dir, "orders").where("o_orderkey % 16 = 0").withColumnRenamed("o_custkey", "c_custkey")
+    return integrity.orphans(table(spark, sf_dir, "customer").select("c_custkey"), named, "c_custkey")
+
+
+@query("SELECT DISTINCT o_custkey AS file_id FROM orders WHERE o_orderkey % 2 = 0 AND o_custkey > 0 EXCEPT SELECT o_custkey FROM orders WHERE o_orderkey % 8 = 1")
+def orphan_hints(spark, sf_dir):
+    """Hint files whose log is gone, by the ids in their names."""
+    orders = table(spark, sf_dir, "orders")
+    named = lambda kind, rows: rows.select(integrity.file_name(scalars.file_name_column(F.col("o_custkey"), kind)).getField("id").alias("file_id")).where("file_id is not null").distinct()
+    return integrity.orphans(named("hint", orders.where("o_orderkey % 2 = 0")), named("log", orders.where("o_orderkey % 8 = 1")), "file_id")
 
 
 @query(f"WITH t AS ({TABLES}) SELECT table_id FROM t WHERE entry_count % 2 = 1 OR slot = 1")
@@ -228,10 +249,10 @@ def valid_prefix(spark, sf_dir):
     return integrity.valid_prefix(ev.withColumn("ok", F.col("offset") != 300)).select("event_id")
 
 
-@query(f"SELECT user_id, event_id FROM ({NEWEST}) EXCEPT SELECT user_id, event_id FROM ({NEWEST.replace('FROM events', 'FROM (SELECT * FROM events WHERE event_id <= 400)')})")
+@query(f"SELECT user_id, event_id FROM ({NEWEST}) EXCEPT SELECT user_id, event_id FROM ({HALF})")
 def index_difference(spark, sf_dir):
     now = lww_emit(spark, sf_dir).select("user_id", "event_id")
-    then = resolve.latest(resolve.as_of(events(spark, sf_dir), 400, "event_id"), "user_id", "event_id", mode=Tombstones.EMIT).select("user_id", "event_id")
+    then = resolve.latest(resolve.as_of(events(spark, sf_dir), half(spark, sf_dir), "event_id"), "user_id", "event_id", mode=Tombstones.EMIT).select("user_id", "event_id")
     return now.exceptAll(then)
 
 
@@ -253,28 +274,32 @@ def streaming_lww(spark, sf_dir):
 @query(LIVE_PROPS)
 def layered_store(spark, sf_dir):
     """Four batches into a layered store, compaction on the way, and a scan."""
-    log = changelog(spark, sf_dir)
     store = LayeredStore(spark, shared_path(spark, "layered-store"), Options(l0_trigger=3))
-    for k in range(4):
-        store.apply(log.where(batch_of(k)), k)
+    for k, batch in enumerate(batches(spark, sf_dir)):
+        store.apply(batch, k)
         store.maintain()
     return store.resolved().select(*text())
 
 
-def batch_of(k: int) -> Column:
-    """Batches in the order of writes; the last is open-ended."""
-    return (F.col("seq") >= 250 * k) & (F.col("seq") < 250 * (k + 1) if k < 3 else F.lit(True))
+def batches(spark: SparkSession, sf_dir: str, parts: int = 4) -> list[DataFrame]:
+    """The change log in batches in the order of writes."""
+    log = changelog(spark, sf_dir)
+    top = log.agg(F.max("seq")).first()[0] + 1
+    return [log.where((F.col("seq") >= top * k // parts) & (F.col("seq") < top * (k + 1) // parts)) for k in range(parts)]
 
 
 @query(LIVE_PROPS)
 def log_store(spark, sf_dir):
-    """Four appends into a log store, compaction, and its live keys."""
-    log = changelog(spark, sf_dir)
-    store = LogStore(spark, shared_path(spark, "log-store"))
-    for k in range(4):
-        store.append(log.where(batch_of(k)))
+    """Four appends into a log store, a file each, compaction, and its live keys."""
+    return compacted_log(spark, sf_dir).live().select(*text())
+
+
+def compacted_log(spark: SparkSession, sf_dir: str) -> LogStore:
+    store = LogStore(spark, shared_path(spark, "log-store"), Options(max_file_bytes=1))
+    for batch in batches(spark, sf_dir):
+        store.append(batch)
     store.compact()
-    return store.live().select(*text())
+    return store
 
 
 @query(LIVE_PROPS)
@@ -328,7 +353,8 @@ def table_codec(spark, sf_dir):
     def f(rows: list[dict]) -> list[tuple]:
         by = {r["c_name"].encode(): str(r["c_custkey"]).encode() for r in rows}
         table_ = formats.Table(formats.encode_table([formats.Entry(k, v) for k, v in sorted(by.items())], 512))
-        return [(int(e.value), e.key.decode(), "Found" if e.key in table_.bloom else "NotPresent") for e in table_]
+        absent = sum(table_.get(k + b"~") is not None for k in by)
+        return [(int(e.value), e.key.decode(), "Found" if table_.get(e.key) == e and not absent else "NotPresent") for e in table_]
 
     return through(table(spark, sf_dir, "customer"), f, "c_custkey long, c_name string, lookup string")
 
@@ -360,19 +386,403 @@ def range_summary(spark, sf_dir):
     return resolve.latest(orders.where(resolve.in_range("o_orderkey", 100, 900)), "o_orderkey", "o_orderkey").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.max("o_orderkey").alias("newest"))
 
 
-@query()
+BYTES = "list_transform(range(0, CAST(strlen({0}) AS BIGINT)), lambda i: CAST('0x' || substr(hex(encode({0})), CAST(2 * i + 1 AS INT), 2) AS BIGINT))"
+CRC_TABLE = "SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS tbl"
+CRC = "xor(list_reduce(" + BYTES + ", lambda c, b: xor(c >> 8, tbl[CAST(xor(c, b) & 255 AS INT) + 1]), CAST(4294967295 AS BIGINT)), 4294967295)"
+FNV = "list_reduce(list_transform(" + BYTES + ", lambda b: CAST(b AS UBIGINT)), lambda h, b: CAST(CAST(xor(h, b) AS UHUGEINT) * 1099511628211 % 18446744073709551616 AS UBIGINT), CAST(14695981039346656037 AS UBIGINT))"
+SIGNED = "CAST(CASE WHEN {0} >= 9223372036854775808 THEN CAST({0} AS HUGEINT) - 18446744073709551616 ELSE CAST({0} AS HUGEINT) END AS BIGINT)"
+
+
+@query(f"WITH t AS ({CRC_TABLE}) SELECT event_id, {CRC.format('props')} AS crc, event_id % 16 <> 3 AS ok FROM events, t")
 def crc_check(spark, sf_dir):
-    """Checksums of the values; DuckDB has no crc32."""
-    ev = table(spark, sf_dir, "events").select("event_id", F.crc32("props").alias("crc"), "props")
-    return ev.select("event_id", "crc", integrity.crc_ok(F.col("props"), F.col("crc")).alias("ok"))
+    """Checksums of the values, and a check of bodies of which each sixteenth is damaged."""
+    ev = table(spark, sf_dir, "events").select("event_id", "props", F.crc32("props").alias("crc"))
+    body = F.when(F.col("event_id") % 16 == 3, F.concat("props", F.lit("!"))).otherwise(F.col("props"))
+    return ev.select("event_id", "crc", integrity.crc_ok(body, F.col("crc")).alias("ok"))
 
 
-@query()
+@query(f"SELECT key, {SIGNED.format('h')} AS hash FROM (SELECT key, {FNV.format('key')} AS h FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) AS key FROM events))")
 def fnv_hashes(spark, sf_dir):
-    """The 64-bit hash that filters use, of the keys; beyond DuckDB's arithmetic."""
+    """The 64-bit hash that filters use, of the keys."""
     return changelog(spark, sf_dir).select(F.decode("key", "UTF-8").alias("key")).distinct().select("key", scalars.fnv1a_column(F.encode("key", "UTF-8")).alias("hash"))
 
 
+@query(f"""SELECT place, CAST(count(*) AS BIGINT) AS keys FROM (SELECT unnest(list_transform(range(7), lambda i: CAST((h % 4294967296 + i * d % 4294967296) % 4294967296 % 16384 AS BIGINT))) AS place FROM
+(SELECT CAST(h AS HUGEINT) AS h, CASE WHEN h // 4294967296 = 0 THEN CAST(2654435769 AS HUGEINT) ELSE CAST(h // 4294967296 AS HUGEINT) END AS d FROM (SELECT {FNV.format('c_name')} AS h FROM customer))) GROUP BY place""")
+def bloom_bits(spark, sf_dir):
+    """The bits that a filter of all customers' names sets, and how many probes set each."""
+    places = scalars.probes_column(F.col("h"), scalars.probe_count(10), 1 << 14)
+    return table(spark, sf_dir, "customer").select(scalars.fnv1a_column(F.encode("c_name", "UTF-8")).alias("h")).select(F.explode(places).alias("place")).groupBy("place").agg(F.count("*").alias("keys"))
+
+
+@query("SELECT p_partkey, p_size * 1048576 // 116 AS keys, 16 * (p_size * 1048576 // 116) AS key_bytes FROM part")
+def dataset_sizes(spark, sf_dir):
+    """Keys of 16 bytes with values of 100 that make so many megabytes."""
+    keys = scalars.keys_for_column(F.col("p_size"), 100)
+    return table(spark, sf_dir, "part").select("p_partkey", keys.alias("keys"), (16 * keys).alias("key_bytes"))
+
+
+# -- the layered store from end to end
+
+
+def loaded(spark: SparkSession, sf_dir: str, label: str, options: Options = Options(), maintain: bool = False) -> LayeredStore:
+    store = LayeredStore(spark, shared_path(spark, label), options)
+    for k, batch in enumerate(batches(spark, sf_dir)):
+        store.apply(batch, k)
+        if maintain:
+            store.maintain()
+    return store
+
+
+FIRST_HALF = f"SELECT user_id, props FROM ({NEWEST.replace('FROM events', 'FROM (SELECT * FROM events WHERE event_id < (SELECT (max(event_id) + 1) * 2 // 4 FROM events))')}) WHERE NOT ({DEAD})"
+SMALL = Options(l0_trigger=2, level_base_bytes=20_000, level_multiplier=2, target_table_bytes=8_000)
+
+
+@query(FIRST_HALF)
+def version_pin(spark, sf_dir):
+    """The store as its second version has it, read after the fourth."""
+    return loaded(spark, sf_dir, "pin-store").scan(version=2).select(*text())
+
+
+@query(FIRST_HALF)
+def pinned_reader(spark, sf_dir):
+    """A scan that was begun before compaction replaced all of its tables, read after it."""
+    first, *rest = [batches(spark, sf_dir)[:2], *batches(spark, sf_dir)[2:]]
+    store = LayeredStore(spark, shared_path(spark, "reader-store"), Options(l0_trigger=2))
+    for batch in first:
+        store.apply(batch)
+    before = LayeredStore(spark, store.root, writer=False).scan()
+    for batch in rest:
+        store.apply(batch)
+        store.maintain()
+    store.compact()
+    store.vacuum()
+    return before.select(*text())
+
+
+@query(f"""SELECT k.user_id, CASE WHEN n.user_id IS NULL THEN 'NotFound' ELSE 'OK' END AS status, n.props
+FROM (SELECT DISTINCT o_custkey AS user_id FROM orders) k LEFT JOIN ({LIVE_PROPS}) n USING (user_id)""")
+def store_multi_get(spark, sf_dir):
+    """A batch get from tables that ranges and filters prune; keys are the orders' customers, most of them absent."""
+    keys = table(spark, sf_dir, "orders").select(F.encode(F.col("o_custkey").cast("string"), "UTF-8").alias("key")).distinct()
+    return loaded(spark, sf_dir, "get-store", maintain=True).multi_get(keys).select(*text(), "status")
+
+
+@query("SELECT 'absent' AS asked, count(*) AS keys, CAST(0 AS BIGINT) AS found, CAST(0 AS BIGINT) AS rows_scanned FROM region UNION ALL SELECT 'outside', count(*), 0, 0 FROM nation")
+def absent_keys(spark, sf_dir):
+    """Batch gets of keys that filters or ranges rule out: no row leaves a scan."""
+    store = LayeredStore(spark, shared_path(spark, "absent-store"))
+    names = table(spark, sf_dir, "customer").select(F.encode("c_name", "UTF-8").alias("key"), F.col("c_custkey").alias("seq"), F.lit(False).alias("tombstone"), F.encode("c_mktsegment", "UTF-8").alias("value"))
+    store.apply(names)
+    out = []
+    for asked, keys in (("absent", table(spark, sf_dir, "region").select(F.format_string("Customer#0000000%02d-none", "r_regionkey"))), ("outside", table(spark, sf_dir, "nation").select(F.concat(F.lit("zz"), "n_name")))):
+        got = store.multi_get(keys.toDF("key").select(F.encode("key", "UTF-8").alias("key")))
+        rows = got.collect()  # the rows of region and nation
+        out.append((asked, len(rows), sum(r.status == "OK" for r in rows), scanned_rows(got, "value")))
+    return spark.createDataFrame(out, "asked string, keys long, found long, rows_scanned long")
+
+
+@query(f"SELECT count(*) AS entries, true AS disjoint, CAST(1 AS BIGINT) AS levels, true AS split, CAST(0 AS BIGINT) AS tombstones FROM ({LIVE_PROPS})")
+def store_levels(spark, sf_dir):
+    """Small levels filled by picked merges, then merged into one: disjoint tables of about the target size, without tombstones."""
+    store = loaded(spark, sf_dir, "levels-store", SMALL, maintain=True)
+    store.compact()
+    ranges = integrity.disjoint(store.manifest())
+    out = ranges.agg(F.sum("entry_count").alias("entries"), F.every("disjoint").alias("disjoint"), F.count_distinct("level").alias("levels"), (F.count("*") > 1).alias("split"))
+    return out.withColumn("tombstones", F.lit(store.layers().where("tombstone").count()).cast("long"))
+
+
+@query(f"SELECT level, ordinal, true AS in_order FROM (SELECT 0 AS level, unnest(range(4)) AS ordinal)")
+def level_order(spark, sf_dir):
+    """Level 0 by descending id."""
+    rows = loaded(spark, sf_dir, "order-store", Options(l0_trigger=9)).manifest().where("level = 0").groupBy("level", "table_id").agg(F.min("ordinal").alias("first"))
+    w = Window.partitionBy("level").orderBy("first")
+    return rows.select("level", (F.row_number().over(w) - 1).cast("long").alias("ordinal"), F.coalesce(F.lag("table_id").over(w) > F.col("table_id"), F.lit(True)).alias("in_order"))
+
+
+@query("SELECT c_name, c_custkey FROM customer WHERE c_name >= 'Customer#000000100' AND c_name < 'Customer#000000200'")
+def store_iterator(spark, sf_dir):
+    """A cursor over a range, row by row in order."""
+    store = LayeredStore(spark, shared_path(spark, "cursor-store"))
+    store.apply(table(spark, sf_dir, "customer").select(F.encode("c_name", "UTF-8").alias("key"), F.col("c_custkey").alias("seq"), F.lit(False).alias("tombstone"), F.encode(F.col("c_custkey").cast("string"), "UTF-8").alias("value")))
+    rows = [(k.decode(), int(v)) for k, v in store.iterator(b"Customer#000000100", b"Customer#000000200")]
+    if rows != sorted(rows):
+        raise ValueError("a cursor out of order")
+    return spark.createDataFrame(rows, "c_name string, c_custkey long")
+
+
+# -- single writes; the tables of nations and regions have the same few rows at every scale
+
+
+def nations(spark: SparkSession, sf_dir: str) -> list[tuple[bytes, bytes | None]]:
+    """A put of each nation, then a remove of those of region 0."""
+    rows = table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()
+    return [(r.n_name.encode(), str(r.n_nationkey).encode()) for r in rows] + [(r.n_name.encode(), None) for r in rows if r.n_regionkey == 0]
+
+
+def pairs(spark: SparkSession, rows) -> DataFrame:
+    return spark.createDataFrame([(bytes(k).decode(), int(bytes(v))) for k, v in rows], "n_name string, n_nationkey int")
+
+
+LIVE_NATIONS = "SELECT n_name, n_nationkey FROM nation WHERE n_regionkey <> 0"
+
+
+@query(LIVE_NATIONS)
+def wal_recovery(spark, sf_dir):
+    """Synced single writes, flushed by size on the way, and recovered by the next open."""
+    store = LayeredStore(spark, shared_path(spark, "wal-store"), Options(memtable_bytes=1500))
+    for k, v in nations(spark, sf_dir):
+        store.put(k, v, sync=True) if v is not None else store.remove(k, sync=True)
+    return pairs(spark, LayeredStore(spark, store.root).iterator())
+
+
+@query("SELECT n_name, n_nationkey FROM nation WHERE n_regionkey <> 0 AND n_name >= 'NATION_1' AND n_name < 'NATION_3'")
+def memory_scan(spark, sf_dir):
+    """A range of rows that no table has yet."""
+    store = LayeredStore(spark, shared_path(spark, "memory-store"))
+    store.write_many(nations(spark, sf_dir))
+    return store.scan(b"NATION_1", b"NATION_3").select(F.decode("key", "UTF-8").alias("n_name"), F.decode("value", "UTF-8").cast("int").alias("n_nationkey"))
+
+
+@query("""WITH n AS (SELECT count(*) AS n, count(*) FILTER (n_regionkey = 0) AS dead, sum(length(n_name)) AS names, sum(length(n_name) + length(CAST(n_nationkey AS VARCHAR))) FILTER (n_regionkey <> 0) AS live, sum(length(n_name)) FILTER (n_regionkey = 0) AS gone FROM nation)
+SELECT unnest(['gets', 'flushes', 'wal_records_replayed', 'compactions', 'tables_obsoleted', 'memtable_entries', 'memtable_bytes', 'bloom_checks', 'bloom_rejects', 'block_reads']) AS counter,
+unnest([CAST(2 AS BIGINT), 1, n + dead, 1, 1, 0, 0, 1, 0, 1]) AS value FROM n""")
+def store_counters(spark, sf_dir):
+    """The counters after a recovery, a merge and gets of a live and an empty key."""
+    store = LayeredStore(spark, shared_path(spark, "counted-store"))
+    store.write_many(nations(spark, sf_dir))
+    store.sync()
+    store = LayeredStore(spark, store.root)
+    store.compact()
+    name = next(k for k, v in nations(spark, sf_dir) if (k, None) not in nations(spark, sf_dir))
+    store.get(name), store.get(b""), store.get(b"~")
+    got = store.stats()
+    rows = [(c, got[c]) for c in ("gets", "flushes", "wal_records_replayed", "compactions", "tables_obsoleted", "memtable_entries", "memtable_bytes", "bloom_checks", "bloom_rejects", "block_reads")]
+    return spark.createDataFrame(rows, "counter string, value long")
+
+
+@query("SELECT count(*) AS entries, CAST(sum(64 + length(n_name) + CASE WHEN n_regionkey <> 0 THEN length(CAST(n_nationkey AS VARCHAR)) ELSE 0 END) AS BIGINT) AS bytes FROM nation")
+def held_bytes(spark, sf_dir):
+    """Entries and bytes in memory, removes included."""
+    store = LayeredStore(spark, shared_path(spark, "held-store"))
+    store.write_many(nations(spark, sf_dir))
+    got = store.stats()
+    return spark.createDataFrame([(got["memtable_entries"], got["memtable_bytes"])], "entries long, bytes long")
+
+
+@query(LIVE_PROPS)
+def adopted_tables(spark, sf_dir):
+    """A store whose manifest is gone: its tables are taken as level 0 by id."""
+    store = loaded(spark, sf_dir, "adopted-store")
+    store.files.delete("manifest")
+    return LayeredStore(spark, store.root).resolved().select(*text())
+
+
+class Died(BaseException):
+    """A store stopped as if its process had died."""
+
+
+def dying(step: str) -> Callable[[str], None]:
+    def stop(at: str) -> None:
+        if at == step:
+            raise Died
+
+    return stop
+
+
+@query(f"SELECT s.step, l.user_id, l.props FROM ({LIVE_PROPS}) l, (SELECT unnest(['tables_written', 'before_commit', 'committed']) AS step) s")
+def layered_crashes(spark, sf_dir):
+    """Stores that die at each step of a batch and of a merge, opened again, the batch delivered again."""
+    out = []
+    for step in ("tables_written", "before_commit", "committed"):
+        *first, last = batches(spark, sf_dir)
+        store = LayeredStore(spark, shared_path(spark, "crash-store"))
+        for k, batch in enumerate(first):
+            store.apply(batch, k)
+        for work in (lambda s: s.apply(last, 3), lambda s: s.step(force=True)):
+            store.stop = dying(step)
+            with contextlib.suppress(Died):
+                work(store)
+            store = LayeredStore(spark, store.root, Options(grace_seconds=0))
+            store.apply(last, 3)
+        out.append(store.resolved().select(F.lit(step).alias("step"), *text()))
+    return reduce(DataFrame.unionByName, out)
+
+
+@query(f"SELECT s.step, l.user_id, l.props FROM ({LIVE_PROPS}) l, (SELECT unnest(['data_written', 'hints_written', 'before_commit', 'committed']) AS step) s")
+def log_crashes(spark, sf_dir):
+    """Log stores that die at each step of compaction, opened again."""
+    out = []
+    for step in ("data_written", "hints_written", "before_commit", "committed"):
+        options = Options(max_file_bytes=1, grace_seconds=0)
+        store = LogStore(spark, shared_path(spark, "log-crash"), options)
+        for batch in batches(spark, sf_dir):
+            store.append(batch)
+        store.stop = dying(step)
+        with contextlib.suppress(Died):
+            store.compact()
+        out.append(LogStore(spark, store.root, options).live().select(F.lit(step).alias("step"), *text()))
+    return reduce(DataFrame.unionByName, out)
+
+
+@query(f"SELECT user_id, CAST(21 + length(CAST(user_id AS VARCHAR)) + length(props) AS BIGINT) AS size, props FROM ({LIVE_PROPS})")
+def log_index(spark, sf_dir):
+    """The index of a compacted log, from hints where there are some, and the records that it points at."""
+    store = compacted_log(spark, sf_dir)
+    index = store.index()
+    return index.join(store.records(index), "key").select(*text(), "size")
+
+
+@query("SELECT unnest([1, 4]) AS file_id, unnest([true, false]) AS hinted")
+def log_files_kept(spark, sf_dir):
+    """Files of the log after compaction: one with hints, and the newest."""
+    return compacted_log(spark, sf_dir).segments().select(F.col("file_id").cast("int").alias("file_id"), F.col("hints").alias("hinted"))
+
+
+# -- the documented files
+
+
+@query(LIVE_PROPS)
+def log_file_recovery(spark, sf_dir):
+    """The events as log files of a thousand records, each a file of its own, read back and resolved."""
+    folder = shared_path(spark, "log-files")
+    rows = changelog(spark, sf_dir).withColumn("file", F.floor(F.col("seq") / 1000) + 1)
+
+    def encode(group: list[dict]) -> dict[str, bytes]:
+        group.sort(key=lambda r: r["seq"])
+        return {scalars.file_name(group[0]["file"], "log"): b"".join(formats.encode_record(formats.Record(r["key"], r["value"] or b"", r["seq"], r["tombstone"])) for r in group)}
+
+    logs.write_files(rows, folder, "file", encode).collect()  # a row per file
+    return resolve.latest(logs.as_changes(logs.read_logs(spark, folder)), seq="seq").select(*text())
+
+
+@query(f"SELECT user_id, props, user_id % 16 <> 5 AS hinted FROM ({LIVE_PROPS})")
+def hint_recovery(spark, sf_dir):
+    """Compacted log files with hints, a sixteenth of them damaged: pointers from hints or logs, and their records."""
+    folder = shared_path(spark, "hint-files")
+    live = resolve.latest(changelog(spark, sf_dir)).withColumn("file", (F.decode("key", "UTF-8").cast("long") % 16 + 16 * F.floor(F.decode("key", "UTF-8").cast("long") / 16_000) + 1))
+
+    def encode(group: list[dict]) -> dict[str, bytes]:
+        log, hints = b"", []
+        for r in group:
+            data = formats.encode_record(formats.Record(r["key"], r["value"], r["seq"]))
+            hints.append(formats.Hint(r["key"], r["seq"], len(log), len(data)))
+            log += data
+        hint, id_ = formats.encode_hints(hints, len(log)), group[0]["file"]
+        return {scalars.file_name(id_, "log"): log, scalars.file_name(id_, "hint"): hint[:-1] if id_ % 16 == 6 else hint}
+
+    logs.write_files(live, folder, "file", encode).collect()  # a row per file
+    records = logs.read_logs(spark, folder).select("file_id", "offset", "value")
+    return logs.read_index(spark, folder).join(records, ["file_id", "offset"]).select(*text(), "hinted")
+
+
+CUSTOMER_FILES = "c_name >= 'Customer#000000050' AND c_name < 'Customer#000001200'"
+
+
+def customer_tables(spark: SparkSession, sf_dir: str) -> str:
+    folder = shared_path(spark, "table-files")
+    rows = table(spark, sf_dir, "customer").select(F.floor(F.col("c_custkey") / 500 + 1).alias("file"), F.encode("c_name", "UTF-8").alias("key"), F.encode(F.col("c_custkey").cast("string"), "UTF-8").alias("value"))
+    encode = lambda group: {scalars.file_name(group[0]["file"], "sst"): formats.encode_table([formats.Entry(r["key"], r["value"]) for r in sorted(group, key=lambda r: r["key"])], 512)}
+    logs.write_files(rows, folder, "file", encode).collect()  # a row per file
+    return folder
+
+
+@query(f"SELECT c_name, c_custkey, c_custkey // 500 + 1 AS table_id FROM customer WHERE {CUSTOMER_FILES}")
+def table_range(spark, sf_dir):
+    """A range of table files, of which only the blocks in it are parsed."""
+    rows = logs.read_tables(spark, customer_tables(spark, sf_dir), b"Customer#000000050", b"Customer#000001200")
+    return rows.select(F.decode("key", "UTF-8").alias("c_name"), F.decode("value", "UTF-8").cast("long").alias("c_custkey"), "table_id")
+
+
+@query("SELECT c_custkey // 500 + 1 AS table_id, min(c_name) AS first, max(c_name) AS last, count(*) AS entries FROM customer GROUP BY 1")
+def block_index(spark, sf_dir):
+    """The sparse index of table files: blocks follow one another without gaps, and the last key is the table's."""
+    folder = customer_tables(spark, sf_dir)
+    w = Window.partitionBy("table_id").orderBy("block")
+    blocks = logs.key_blocks(spark, folder).withColumn("fits", F.col("at") == F.coalesce(F.lag(F.col("at") + F.col("size")).over(w), F.lit(0)))
+    last = blocks.groupBy("table_id").agg(F.max("last_key").alias("last"), F.every("fits").alias("fits")).where("fits")
+    entries = logs.read_tables(spark, folder).groupBy("table_id").agg(F.min("key").alias("first"), F.count("*").alias("entries"))
+    return entries.join(last, "table_id").select("table_id", F.decode("first", "UTF-8").alias("first"), F.decode("last", "UTF-8").alias("last"), "entries")
+
+
+@query(f"WITH t AS ({TABLES}) SELECT level, table_id, file_size, entry_count, lpad(CAST(min_key AS VARCHAR), 12, '0') AS low, lpad(CAST(max_key AS VARCHAR), 12, '0') AS high FROM t WHERE table_id > 0")
+def manifest_codec(spark, sf_dir):
+    """Rows of tables through manifests and back, a manifest per batch."""
+
+    def f(rows: list[dict]) -> list[tuple]:
+        levels: list[list] = [[], [], []]
+        for r in rows:
+            levels[r["level"]].append(formats.TableRef(r["table_id"], r["file_size"], r["entry_count"], b"%012d" % r["min_key"], b"%012d" % r["max_key"]))
+        back = formats.decode_manifest(formats.encode_manifest(formats.LevelSet(1 << 31, levels)))
+        return [(k, t.table_id, t.size, t.entries, t.low.decode(), t.high.decode()) for k, level in enumerate(back.levels) for t in level]
+
+    rows = as_tables(spark, sf_dir).where("table_id > 0")
+    return through(rows, f, "level int, table_id long, file_size long, entry_count long, low string, high string")
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'OK' WHEN 1 THEN 'NotFound' WHEN 2 THEN 'IOError' WHEN 3 THEN 'Corruption' ELSE 'InvalidArgument' END AS status, CAST(o_orderkey % 5 AS INT) AS byte,
+o_orderpriority AS body FROM orders""")
+def response_codec(spark, sf_dir):
+    """Responses of all statuses through frames and back, with a status's byte and name."""
+
+    def f(rows: list[dict]) -> list[tuple]:
+        sent = b"".join(wire.frame(wire.encode_response(Code(r["o_orderkey"] % 5), f"{r['o_orderkey']}|{r['o_orderpriority']}".encode())) for r in rows)
+        out = []
+        for code, body in map(wire.decode_response, wire.Frames().feed(sent)):
+            key, _, rest = body.decode().partition("|")
+            out.append((int(key), str(Status(code)), code.value, rest))
+        return out
+
+    return through(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), f, "o_orderkey long, status string, byte int, body string")
+
+
+@query("SELECT p_partkey, p_name || ', \"' || p_brand || chr(10) || '\"' AS name, p_retailprice AS price FROM part")
+def csv_report(spark, sf_dir):
+    """Values with separators, quotes and line ends through CSV and back."""
+    path = shared_path(spark, "report")
+    name = F.concat("p_name", F.lit(', "'), "p_brand", F.lit('\n"'))
+    write_report(table(spark, sf_dir, "part").select("p_partkey", name.alias("name"), F.col("p_retailprice").alias("price")), path, files=4)
+    return read_report(spark, path, "p_partkey long, name string, price double")
+
+
+@query(f"SELECT s.store, n.n_name, n.n_nationkey FROM ({LIVE_NATIONS}) n, (SELECT unnest(['memory', 'locked', 'served']) AS store) s UNION ALL SELECT 'served log', r_name, r_regionkey FROM region WHERE r_regionkey < 4")
+def small_stores(spark, sf_dir):
+    """The same writes to stores in memory and behind the service, and the regions to a served log store, read back key by key."""
+    writes, out = nations(spark, sf_dir), []
+    regions = [(r.r_name.encode(), str(r.r_regionkey).encode() if r.r_regionkey < 4 else None) for r in table(spark, sf_dir, "region").collect()]
+    for kind in ("memory", "locked", "served", "served log"):
+        service = None
+        if kind.startswith("served"):
+            service = wire.Service(MemoryStore() if kind == "served" else LogStore(spark, shared_path(spark, "served-log")))
+            store = wire.Client("127.0.0.1", service.port)
+        else:
+            store = MemoryStore() if kind == "memory" else LockedStore(MemoryStore())
+        asked = regions if kind == "served log" else writes
+        for k, v in asked:
+            store.remove(k) if v is None else store.put(k, v)
+        out += [(kind, k.decode(), int(v)) for k in sorted({k for k, _ in asked}) for status, v in [store.get(k)] if status.is_ok]
+        if service:
+            store.close()
+            service.stop()
+    return spark.createDataFrame(out, "store string, n_name string, n_nationkey int")
+
+
+@query(f"SELECT 2 * s AS batches, user_id, props FROM ({LIVE_PROPS}), (SELECT 4 AS s)")
+def restarted_ingest(spark, sf_dir):
+    """A stream of four batches into a store, and once more from a new checkpoint, as a second stream would come: all eight
+    batches are taken, and delivering the last again changes nothing."""
+    folder = shared_path(spark, "stream-files")
+    for batch in batches(spark, sf_dir):
+        batch.coalesce(1).write.mode("append").parquet(folder)
+    store = LayeredStore(spark, shared_path(spark, "restarted-store"))
+    for _ in range(2):
+        stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        checkpoint = shared_path(spark, "restarted-checkpoint")
+        ingest(stream, store, checkpoint, maintain=False).awaitTermination()
+    again = store.apply(batch.where("false"), 3, source=source_of(store, checkpoint))
+    return store.resolved().select(F.lit(sum(n + 1 for n in store.state["sources"].values()) + again).alias("batches"), *text())
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

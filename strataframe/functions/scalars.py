@@ -62,6 +62,13 @@ def probes(key: bytes, count: int, num_bits: int) -> list[int]:
     return [(at + i * delta & U32) % num_bits for i in range(count)]
 
 
+def probes_column(h: Column, count: int, num_bits: int) -> Column:
+    """The places that probes() gives, in their order, of keys with the hash h (a column of fnv1a_column); null for null."""
+    at, high = h.bitwiseAND(F.lit(U32)), F.shiftrightunsigned(h, 32)
+    delta = F.when(high == 0, F.lit(NO_DELTA)).otherwise(high)
+    return F.when(h.isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: (at + (i * delta).bitwiseAND(F.lit(U32))).bitwiseAND(F.lit(U32)) % num_bits))
+
+
 class Bloom:
     """A set sketch: never a false no. Blocks are `num_bits 4, num_probes 1, bits, crc 4`, little-endian."""
 
@@ -121,3 +128,7 @@ def absent_key(number: Column) -> Column:
 
 def keys_for(megabytes: int, value_bytes: int, key_bytes: int = 16) -> int:
     return megabytes * (1 << 20) // (key_bytes + value_bytes)
+
+
+def keys_for_column(megabytes: Column, value_bytes: int, key_bytes: int = 16) -> Column:
+    return F.floor(megabytes.cast("long") * (1 << 20) / (key_bytes + value_bytes))

@@ -54,6 +54,10 @@ class StoreError(Exception):
         self.status = Status(code, message)
 
 
+#: The refusal of empty and null keys, also as the error of a plan that meets one.
+NO_KEY = "a key is not empty"
+
+
 def corruption(message: str) -> StoreError:
     return StoreError(Code.CORRUPTION, message)
 
@@ -67,7 +71,7 @@ def check_key(key: bytes) -> bytes:
     if not isinstance(key, (bytes, bytearray)):
         raise invalid("a key is a byte string")
     if not key:
-        raise invalid("a key is not empty")
+        raise invalid(NO_KEY)
     return bytes(key)
 
 
@@ -91,11 +95,15 @@ class Options:
     max_levels: int = 7
     keep_versions: int = 3
     ignore_hints: bool = False
+    #: Files that no version names are swept once they are this old: until then a writer may be about to commit them.
+    grace_seconds: int = 86_400
 
     def __post_init__(self) -> None:
         for name in ("memtable_bytes", "max_file_bytes", "l0_trigger", "level_base_bytes", "level_multiplier", "target_table_bytes", "max_levels", "keep_versions"):
             if getattr(self, name) <= 0:
                 raise invalid(f"{name} is positive")
+        if self.grace_seconds < 0:
+            raise invalid("grace_seconds isn't negative")
 
     @property
     def probe_bits(self) -> int:

@@ -8,6 +8,9 @@ from pyspark.sql.window import Window
 
 NAME = r"^(?:(?P<id>\d+)\.(log|hint|sst|wal)|MANIFEST)(\.tmp)?$"
 
+#: Ranges that are compared with each key; more meet the keys in shuffled buckets.
+FEW_RANGES = 256
+
 
 def overlaps(a_min: Column, a_max: Column, b_min: Column, b_max: Column) -> Column:
     """Inclusive ranges meet."""
@@ -37,7 +40,7 @@ def dealt(tables: DataFrame, bounds: DataFrame, low: str, high: str) -> DataFram
     return out.withColumn("_bucket", F.explode(F.sequence("_first", F.greatest("_first", "_last")))).drop("_last")
 
 
-def held_keys(keys: DataFrame, tables: DataFrame, key: str, low: str, high: str, how: str, most: int) -> DataFrame:
+def held_keys(keys: DataFrame, tables: DataFrame, key: str, low: str, high: str, how: str, most: int = FEW_RANGES) -> DataFrame:
     """Keys joined to the ranges that hold them: broadcast up to `most` ranges, else by shuffled buckets."""
     inside = (F.col(key) >= F.col(low)) & (F.col(key) <= F.col(high))
     rows = tables.count()
@@ -50,7 +53,7 @@ def held_keys(keys: DataFrame, tables: DataFrame, key: str, low: str, high: str,
     return out.drop("_key_bucket", "_bucket")
 
 
-def overlap_pairs(tables: DataFrame, level: str = "level", id_: str = "table_id", low: str = "min_key", high: str = "max_key", most: int = 100_000) -> DataFrame:
+def overlap_pairs(tables: DataFrame, level: str = "level", id_: str = "table_id", low: str = "min_key", high: str = "max_key", most: int = FEW_RANGES) -> DataFrame:
     """Pairs (upper, lower) of overlapping tables in neighbouring levels. Up to `most` tables are broadcast; more meet in
     shuffled buckets of keys, each pair in the bucket where the later of the two begins."""
     rows = tables.count()
@@ -71,7 +74,7 @@ def disjoint(tables: DataFrame, level: str = "level", id_: str = "table_id", low
     return tables.withColumn("disjoint", before.isNull() | (before < F.col(low)))
 
 
-def droppable(keys: DataFrame, deeper: DataFrame, key: str = "key", low: str = "min_key", high: str = "max_key", most: int = 100_000) -> DataFrame:
+def droppable(keys: DataFrame, deeper: DataFrame, key: str = "key", low: str = "min_key", high: str = "max_key", most: int = FEW_RANGES) -> DataFrame:
     """Tombstones whose key no deeper table may hold; deeper: manifest rows."""
     return held_keys(keys, deeper.select(low, high), key, low, high, "left_anti", most)
 
@@ -121,6 +124,6 @@ def increasing(entries: DataFrame, table: str = "table_id", key: str = "key", pl
     return entries.withColumn("_before", F.lag(key).over(w)).where(F.col("_before") >= F.col(key)).select(table).distinct()
 
 
-def candidate_table(keys: DataFrame, level: DataFrame, key: str = "key", low: str = "min_key", high: str = "max_key", most: int = 100_000) -> DataFrame:
+def candidate_table(keys: DataFrame, level: DataFrame, key: str = "key", low: str = "min_key", high: str = "max_key", most: int = FEW_RANGES) -> DataFrame:
     """For each key, the table of a disjoint level that may hold it; level: manifest rows."""
     return held_keys(keys, level, key, low, high, "left", most)

@@ -46,29 +46,37 @@ def levels(manifest: DataFrame) -> DataFrame:
     return manifest.groupBy("level").agg(F.count("*").alias("tables"), F.sum("file_size").alias("bytes"), F.sum("entry_count").alias("entries"), F.min("min_key").alias("min_key"), F.max("max_key").alias("max_key"))
 
 
-def percentiles(df: DataFrame, value: str, shares: Sequence[float], buckets: int = 4096) -> DataFrame:
+def percentiles(df: DataFrame, value: str, shares: Sequence[float], buckets: int = 256, few: int = 65_536) -> DataFrame:
     """Nearest-rank percentiles without interpolation: the value at place floor(p * (n - 1)) of the sorted ones, one
-    row. Equal-width buckets are counted first (at most `buckets` + 1 rows reach the driver); only the buckets that
-    hold an answer are sorted, each by distinct value, so no task sees the whole column."""
+    row. For each place, the values are cut at approximate quantiles and counted exactly by bucket (at most `buckets` + 1 rows
+    reach the driver); the bucket that holds the place is cut again until it has at most `few` distinct values, and only those are
+    sorted. Outliers don't widen a quantile's bucket, so no task sees much of the column, whatever its distribution."""
+    v = F.col("v")
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    low, high, n = counts.agg(F.min("v"), F.max("v"), F.sum("c")).first()
+    n, distinct = counts.agg(F.sum("c"), F.count("*")).first()
     names = [f"p{f'{p * 100:g}'.replace('.', '')}" for p in shares]
     if not n:
         return df.select(F.col(value)).limit(0).agg(*(F.max(value).alias(c) for c in names))
-    width = (float(high) - float(low)) / buckets or 1.0
-    put = counts.withColumn("b", F.floor((F.col("v").cast("double") - F.lit(float(low))) / F.lit(width)))
-    sizes, before, wanted = sorted(map(tuple, put.groupBy("b").agg(F.sum("c")).collect())), {}, {}
-    total = 0
-    for b, c in sizes:
-        before[b] = total
-        for name, p in zip(names, shares, strict=True):
-            place = int(p * (n - 1))
-            if total <= place < total + c:
-                wanted[name] = (b, place - total)
-        total += c
-    some = put.where(F.col("b").isin(sorted({b for b, _ in wanted.values()})))
-    some = some.withColumn("upto", F.sum("c").over(Window.partitionBy("b").orderBy("v")))
-    return some.agg(*(F.min(F.when((F.col("b") == wanted[c][0]) & (F.col("upto") > wanted[c][1]), F.col("v"))).alias(c) for c in names))
+    out = None
+    for name, p in zip(names, shares, strict=True):
+        inside, place, held = F.lit(True), int(p * (n - 1)), distinct
+        while held > few:
+            some = counts.where(inside)
+            cuts = sorted(set(some.agg(F.percentile_approx("v", [i / buckets for i in range(1, buckets)], 50 * buckets)).first()[0]))
+            number = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= v))
+            sizes = sorted(map(tuple, some.groupBy(number.alias("b")).agg(F.sum("c"), F.count("*")).collect()))
+            for b, c, k in sizes:
+                if place < c:
+                    break
+                place -= c
+            if k == held:  # nothing was told apart
+                break
+            held = k
+            inside = inside & (v >= F.lit(cuts[b - 1]) if b else F.lit(True)) & (v < F.lit(cuts[b]) if b < len(cuts) else F.lit(True))
+        upto = F.sum("c").over(Window.partitionBy(F.lit(0)).orderBy("v"))
+        found = counts.where(inside).select("v", upto.alias("upto")).where(F.col("upto") > place).agg(F.min("v").alias(name))
+        out = found if out is None else out.crossJoin(found)  # one row each
+    return out
 
 
 def median(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:

@@ -23,6 +23,11 @@ class Files:
         at = self.at(folder)
         return {s.getPath().getName(): s.getLen() for s in self.fs.listStatus(at)} if self.fs.exists(at) else {}
 
+    def ages(self, folder: str) -> dict[str, float]:
+        """Seconds since the last change by name, by this machine's clock."""
+        at, now = self.at(folder), self.jvm.java.lang.System.currentTimeMillis()
+        return {s.getPath().getName(): (now - s.getModificationTime()) / 1000 for s in self.fs.listStatus(at)} if self.fs.exists(at) else {}
+
     def read(self, name: str) -> bytes:
         f = self.fs.open(self.at(name))
         try:
@@ -30,7 +35,10 @@ class Files:
         finally:
             f.close()
 
-    def write(self, name: str, data: bytes) -> None:
+    def write(self, name: str, data: bytes, new: bool = False) -> None:
+        """new: an error where the name is taken, as another writer has then committed."""
+        if new and self.fs.exists(self.at(name)):
+            raise StoreError(Code.IO_ERROR, f"{name} is there already: another writer has committed")
         temporary = self.at(f"{name}.tmp")
         f = self.fs.create(temporary, True)
         f.write(bytearray(data))

@@ -2,22 +2,30 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from strataframe.plans.files import Files
 from strataframe.plans.layered import LayeredStore
 
 
-def ingest(stream: DataFrame, store: LayeredStore, checkpoint: str, maintain: bool = True, once: bool = True, name: str = "stream") -> StreamingQuery:
-    """Each micro-batch of (key, seq, tombstone, value) becomes one layer, named by its batch id, so a batch that is
-    delivered again changes nothing; then due compaction runs. Batches follow one another, so the writer can't run ahead."""
+def source_of(store: LayeredStore, checkpoint: str) -> str:
+    """The name of a stream: the id that its checkpoint keeps through restarts, and no other checkpoint has."""
+    return json.loads(Files(store.spark, checkpoint).read("metadata"))["id"]
+
+
+def ingest(stream: DataFrame, store: LayeredStore, checkpoint: str, maintain: bool = True, once: bool = True) -> StreamingQuery:
+    """Each micro-batch of (key, seq, tombstone, value) becomes one layer, named by the stream's id and the batch's number, so a
+    batch that is delivered again changes nothing, and another stream, or this one from a new checkpoint, is a source of its
+    own; then due compaction runs. Batches follow one another, so the writer can't run ahead."""
 
     def take(batch: DataFrame, batch_id: int) -> None:
-        if not batch.isEmpty():
-            store.apply(batch, f"{name}:{batch_id}")
-            if maintain:
-                store.maintain()
+        store.apply(batch, batch_id, source=source_of(store, checkpoint))
+        if maintain:
+            store.maintain()
 
     writer = stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

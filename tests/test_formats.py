@@ -17,6 +17,13 @@ some = st.binary(min_size=1, max_size=40)
 
 @given(some, st.binary(max_size=60), st.integers(0, 2**63), st.booleans())
 def test_records(key, value, ts, tombstone):
+    if tombstone and value:
+        with pytest.raises(StoreError):
+            f.encode_record(f.Record(key, value, ts, tombstone))
+        body = struct.pack("<QBII", ts, 1, len(key), len(value)) + key + value
+        with pytest.raises(StoreError):
+            f.decode_record(struct.pack("<I", zlib.crc32(body)) + body)
+        value = b""
     r = f.Record(key, value, ts, tombstone)
     data = f.encode_record(r)
     assert f.decode_record(data) == (r, len(data)) and len(data) == 21 + len(key) + len(value)
@@ -76,6 +83,37 @@ def test_manifests():
             f.decode_manifest(data[:n])
 
 
+def test_manifest_rows_that_cannot_be():
+    for row in (f.TableRef(0, 1, 1, b"a", b"b"), f.TableRef(3, 1, 1, b"b", b"a")):
+        with pytest.raises(StoreError):
+            f.decode_manifest(f.encode_manifest(f.LevelSet(9, [[row]])))
+
+
+def test_known_bytes():
+    """Layouts written out by hand, so an error that encoder and decoder share shows."""
+    body = bytes.fromhex("0100000000000000" + "00" + "05000000" + "03000000") + b"alphaone"
+    assert f.encode_record(f.Record(b"alpha", b"one", 1)) == struct.pack("<I", zlib.crc32(body)) + body
+    body = bytes.fromhex("0200000000000000" + "01" + "01000000" + "00000000") + b"k"
+    assert f.encode_record(f.Record(b"k", b"", 2, True)) == struct.pack("<I", zlib.crc32(body)) + body
+    assert f.encode_entry(f.Entry(b"ab", b"c")) == bytes.fromhex("02000000" + "01000000" + "00") + b"abc"
+    data = f.encode_table([f.Entry(b"k", b"v")], 64)
+    assert data[-4:] == b"KVST" and struct.unpack_from("<I", data, len(data) - 12)[0] == 1 and struct.unpack_from("<Q", data, len(data) - 52 + 28)[0] >= 0
+    assert f.encode_hints([], 77) == b"KVHT" + struct.pack("<QQ", 77, 0) + struct.pack("<I", zlib.crc32(b"KVHT" + struct.pack("<QQ", 77, 0)))
+    assert f.encode_manifest(f.LevelSet(2, [])) == f.sealed(b"KVMF" + struct.pack("<III", 1, 2, 0))
+    assert zlib.crc32(b"123456789") == 0xCBF43926
+
+
+def test_seeks_read_only_blocks_in_range():
+    entries = [f.Entry(b"key%03d" % i, b"v%d" % i) for i in range(0, 200, 2)]
+    t, read = f.Table(f.encode_table(entries, 64)), []
+    whole = t.block
+    t.block = lambda i: read.append(i) or whole(i)
+    assert [e.key for e in t.range(b"key050", b"key061")] == [b"key%03d" % i for i in range(50, 62, 2)] and len(read) <= 4 < len(t.index)
+    read.clear()
+    assert t.get(b"key100").value == b"v100" and len(read) == 1
+    assert t.get(b"zzz") is None and t.get(b"key101") is None and list(t.range(b"x")) == []
+
+
 def test_bloom():
     keys = [b"key%d" % i for i in range(3000)]
     b = scalars.Bloom.decode(scalars.Bloom.build(keys).encode())
