@@ -108,7 +108,7 @@ def test_snapshot_is_pinned(spark, tmp_path):
 
 
 def test_compaction_keeps_answers_and_drops_tombstones(spark, tmp_path):
-    s, oracle, rnd = filled(spark, tmp_path, l0_trigger=2, level_base_bytes=1500, level_multiplier=2, target_table_bytes=1000), {}, random.Random(5)
+    s, oracle, rnd = filled(spark, tmp_path, l0_trigger=2, level_base_bytes=6000, level_multiplier=2, target_table_bytes=3000), {}, random.Random(5)
     for _ in range(6):
         for _ in range(30):
             k = f"key{rnd.randrange(60):03d}".encode()
@@ -305,7 +305,7 @@ def test_batch_gets_open_few_tables(spark, tmp_path):
 
 
 def test_log_store_rotation_hints_and_deferred_deletion(spark, tmp_path):
-    s = LogStore(spark, str(tmp_path), Options(max_file_bytes=3000))
+    s = LogStore(spark, str(tmp_path), Options(max_file_bytes=8000))
     for i in range(6):
         s.append(rows_of(spark, *((b"k%d" % j, b"%d" % i) for j in range(i, 12))))
     assert 1 < s.file_count() < 6
