@@ -24,13 +24,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataframe.llm.common import bounded_batches, materialize
+from strataframe.llm.common import materialize, slices
 
 SHORTEST = 12
 QUOTE = re.compile(r"[ \t]{0,3}((?:>[ \t]?)+)")
@@ -93,10 +94,9 @@ def key(passage: str) -> bytes:
 
 def parsed(messages: DataFrame, conv: str, turn: str, text: str) -> DataFrame:
     """Written: row, conv, turn, own text and quotes (level and units: hash, whether it is all, characters, lines)."""
-    bounded_batches(messages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             own, quotes = [], []
             for t in batch.column(2).to_pylist():
                 body, passages = parse(t)
@@ -115,7 +115,7 @@ def held_by(rows: DataFrame, sizes: list[int]) -> DataFrame:
     """conv, turn, row and the hash of each thing that a message holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [[key(x) for x in holds(t or "", sizes, 1)] for t in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.binary()))], ["conv", "turn", "row", "held"])
 
@@ -160,14 +160,33 @@ def threads(links: DataFrame) -> DataFrame:
     return done
 
 
+def ordered(rows: DataFrame, order: list[str], group: list[str]) -> DataFrame:
+    """Adds position, a row's place from 0 in its group by `order`, which begins with `group`. Rows are sorted over range
+    partitions, and a place is the rank over all less the group's least, so no task holds a group; a count per task reaches the
+    driver."""
+    cut = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    cut = materialize(cut, "chat-ordered").withColumn("_part", F.shiftright("_at", 33)).withColumn("_in", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = dict(map(tuple, cut.groupBy("_part").count().collect()))
+    before, total = [], 0
+    for part, n in sorted(sizes.items()):
+        before.append((part, total))
+        total += n
+    ranks = cut.join(F.broadcast(rows.sparkSession.createDataFrame(before, "_part long, _before long")), "_part").withColumn("_rank", F.col("_before") + F.col("_in"))
+    first = ranks.groupBy(*group).agg(F.min("_rank").alias("_first")).select(*(F.col(c).alias(f"_{c}") for c in group), "_first")
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in group))
+    return ranks.join(first, same).withColumn("position", F.col("_rank") - F.col("_first")).select(*rows.columns, "position")
+
+
 def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
     """One row per message: conv_id, turn, role, text without quotes, n_quotes, parent_conv, parent_turn, by_quote, root_conv,
-    root_turn and depth. Ordered by (root_conv, root_turn, depth, conv_id, turn), each conversation has every
-    message after the one it answers."""
+    root_turn, root_row (which tells apart roots of equal conversation and turn), depth and position. The rows of one root are a built
+    conversation, its turns in the order of position: every message comes after the one it answers."""
     rows = parsed(messages, conv, turn, text)
     tree = threads(parents(rows)).select("row", "up", "by_quote", "root", "depth")
     out = rows.select("row", "conv", "turn", "role", "own", F.size("quotes").cast("long").alias("n_quotes")).join(tree, "row")
-    return out.select(F.col("conv").alias("conv_id"), "turn", "role", F.col("own").alias("text"), "n_quotes", F.col("up.conv").alias("parent_conv"), F.col("up.turn").alias("parent_turn"), "by_quote", F.col("root.conv").alias("root_conv"), F.col("root.turn").alias("root_turn"), "depth")
+    out = out.select("row", F.col("conv").alias("conv_id"), "turn", "role", F.col("own").alias("text"), "n_quotes", F.col("up.conv").alias("parent_conv"), F.col("up.turn").alias("parent_turn"), "by_quote", F.col("root.conv").alias("root_conv"), F.col("root.turn").alias("root_turn"), F.col("root.row").alias("root_row"), "depth")
+    root = ["root_conv", "root_turn", "root_row"]
+    return ordered(out, [*root, "depth", "conv_id", "turn", "row"], root).drop("row")
 
 
 def op7_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,9 +5,12 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,9 +23,12 @@ GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all nodes share: spark.checkpoint.dir; where unset (tests), a local one is made and set."""
+    """The folder all nodes share: spark.checkpoint.dir. Where it is unset, a session in one process (tests) gets a local
+    folder of its own; a cluster gets an error, as a local folder there is another one on every node."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
         root = f"file://{tempfile.mkdtemp(prefix='strataframe-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -33,12 +39,26 @@ def shared_path(spark: SparkSession, label: str) -> str:
 
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_written: dict[str, None] = {}
+_scope: ContextVar[list[str] | None] = ContextVar("tables", default=None)
+
+
+@contextmanager
+def tables(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what operators wrote within it, in this thread or task, and have not deleted; so whatever reads
+    those tables is to be written before. Outside of any such block, tables stay until their folder is cleaned."""
+    paths: list[str] = []
+    before = _scope.set(paths)
+    try:
+        yield
+    finally:
+        _scope.reset(before)
+        for path in paths:
+            delete(spark, path)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends there, and lost executors cost nothing. Its shuffle
-    files go at once; the table stays until discard() or delete()."""
+    files go at once; the table stays until discard() or the end of the block of tables() it was written in."""
     spark, path = df.sparkSession, shared_path(df.sparkSession, label)
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
@@ -48,14 +68,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
-    _written[path] = None
+    if (paths := _scope.get()) is not None:
+        paths.append(path)
     return out
 
 
 def delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    _written.pop(path, None)
 
 
 def discard(*tables: DataFrame) -> None:
@@ -64,15 +84,21 @@ def discard(*tables: DataFrame) -> None:
         delete(df.sparkSession, df._written_at)
 
 
-def written() -> set[str]:
-    """The tables written and not deleted."""
-    return set(_written)
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices of few rows and bytes, so that very long texts don't become Python objects together. An
+    empty batch passes. Spark bounds what it sends at once by spark.sql.execution.arrow.maxBytesPerBatch (64 MiB)."""
+    for batch in batches:
+        step = max(1, min(rows, batch.num_rows * size // max(1, batch.nbytes)))
+        for at in range(0, max(1, batch.num_rows), step):
+            yield batch.slice(at, step)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of few rows and bytes, so that very long texts don't meet in one batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+def free(df: DataFrame, name: str) -> str:
+    """The name, lengthened until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def fold(key: Column, modulus: int) -> Column:

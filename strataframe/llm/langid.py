@@ -1,10 +1,12 @@
 """Language spans: script ranges narrow the candidates, then Viterbi over per-word scores.
 
 Training counts character n-grams (2 to 4, with word borders, hashed into BUCKETS) by language over a
-hash-drawn sample of about TRAIN_ROWS documents per language, in Spark; one row per language and bucket comes back.
+hash-drawn sample of about TRAIN_ROWS documents of each of the LANGUAGES most frequent labels, in Spark; one row per language and bucket
+comes back.
 A word's score for a language is its mean smoothed log-probability times the number of n-grams; a
 language in whose training words the word's script is rare is out while another has it. Viterbi
-with a switching penalty labels each word; runs of one language are spans. All documents of a batch
+with a switching penalty labels each word; runs of one language are spans. A word ends where the script changes, and every few
+letters in scripts without spaces, so languages may change inside a run of letters. All documents of a batch
 step forward together, so a long text costs no more memory than its words.
 
 Defined results: null text, or one without a letter, is `und` with score 0 and no spans; a null
@@ -24,11 +26,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataframe.llm.common import Memo, bounded_batches, fold, mix, runs
+from strataframe.llm.common import Memo, fold, free, mix, runs, slices
 
 #: Documents per language that train, about; n-gram buckets; the price of a change of language.
 TRAIN_ROWS, BUCKETS, PENALTY = 2000, 1 << 16, 8.0
-LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+#: Languages that are learnt, those with most documents: the model is one number per bucket and language.
+LANGUAGES = 256
+#: A word is a run of letters of one script; in scripts without spaces between words, of at most SHORT letters, so that labels
+#: can change inside a run.
+SHORT = 6
+SPACED = ("Latin", "Greek", "Cyrillic", "Armenian", "Hebrew", "Arabic", "Devanagari", "Bengali", "Tamil", "Georgian", "Hangul", "Gurmukhi", "Gujarati", "Oriya", "Telugu", "Kannada", "Malayalam", "Sinhala", "Ethiopic")
+UNSPACED = (r"\p{Han}", r"[\p{Hiragana}\p{Katakana}\u30FC]", r"\p{Thai}", r"\p{Lao}", r"\p{Khmer}", r"\p{Myanmar}", r"\p{Tibetan}")
+LETTERS = regex.compile("|".join([*(rf"[\p{{{s}}}&&\p{{L}}][[\p{{{s}}}&&\p{{L}}]\p{{M}}]*" for s in SPACED), *(rf"(?:[{s}&&\p{{L}}]\p{{M}}*){{1,{SHORT}}}" for s in UNSPACED), r"\p{L}\p{M}*"]), regex.V1)
 NGRAMS = (2, 3, 4)
 SPANS = T.ArrayType(T.StructType().add("lang", "string").add("first", "long").add("words", "long"))
 
@@ -67,7 +76,7 @@ def codes(text: str) -> np.ndarray:
 
 
 def scripts(words: list[str]) -> np.ndarray:
-    """The script of each word's first letter."""
+    """The script of each word, that of its first letter."""
     first = codes("".join(w[0] for w in words))
     return TABLE[np.minimum(first, 0xFFFF)] * (first < 0x10000)
 
@@ -110,20 +119,16 @@ class Model:
 
 
 def sample(docs: DataFrame, key: str, lang: str, rows: int) -> DataFrame:
-    """About `rows` documents of each language, by a hash of the key; needs one row per language on the driver."""
-    n = {r[0]: r[1] for r in docs.where(F.col(lang).isNotNull()).groupBy(lang).count().collect()}
+    """About `rows` documents of each language, by a hash of the key; the languages' counts are broadcast while few."""
+    counts = docs.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("_lang")).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "_lang").limit(LANGUAGES)
     share = F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(1 << 30)) / float(1 << 30)
-    keep = F.lit(False)
-    for name, count in n.items():
-        keep = keep | ((F.col(lang) == name) & (share < min(1.0, rows / count)))
-    return docs.where(keep)
+    return docs.join(F.broadcast(counts), F.col(lang) == F.col("_lang")).where(share < rows / F.col("_n")).drop("_lang", "_n")
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = TRAIN_ROWS) -> Model:
-    bounded_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             by: dict[str, list[str]] = {}
             for t, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 by.setdefault(name, []).extend(w.lower() for w in LETTERS.findall(t or ""))
@@ -179,18 +184,17 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float = PENALTY) -
     return path
 
 
-def label(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, penalty: float = PENALTY) -> DataFrame:
-    """Adds lang_pred, score (the share of letters in that language's spans) and spans (language, first word, words)
-    to the columns `keep` of docs (all); docs' own columns of these names go."""
-    bounded_batches(docs.sparkSession)
-    cols = [c for c in keep or docs.columns if c not in ("lang_pred", "score", "spans")]
+def label(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, penalty: float = PENALTY, into: tuple[str, str, str] = ("lang_pred", "score", "spans")) -> DataFrame:
+    """Adds the predicted language, a score (the share of letters in that language's spans) and spans (language, first word,
+    words) under the names `into` to the columns `keep` of docs (all); docs' own columns of these names go."""
+    cols = [c for c in keep or docs.columns if c not in into]
     at = len(cols)
     names = model.languages
     memo, rows = Memo(300_000), np.zeros((0, len(names)), np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal rows
-        for batch in batches:
+        for batch in slices(batches):
             texts = [LETTERS.findall(t.lower()) if t else [] for t in batch.column(at).to_pylist()] if names else [[]] * batch.num_rows
             flat = [w for ws in texts for w in ws]
             new = memo.missing(flat)
@@ -211,10 +215,10 @@ def label(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
             place = runs(lengths)[first]
             offsets = np.r_[0, np.cumsum(np.bincount(doc[first], minlength=len(texts)))]
             spans = pa.StructArray.from_arrays([pa.array([names[i] for i in path[first]], pa.string()), pa.array(place, pa.int64()), pa.array(words, pa.int64())], ["lang", "first", "words"])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array([names[b] if n else "und" for b, n in zip(best, lengths, strict=True)], pa.string()), pa.array(share, pa.float64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), spans)], [*cols, "lang_pred", "score", "spans"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array([names[b] if n else "und" for b, n in zip(best, lengths, strict=True)], pa.string()), pa.array(share, pa.float64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), spans)], [*cols, *into])
 
-    schema = docs.select(*cols).schema.add("lang_pred", "string").add("score", "double").add("spans", SPANS)
-    return docs.select(*cols, F.col(text).alias("_labelled_text")).mapInArrow(run, schema)
+    schema = docs.select(*cols).schema.add(into[0], "string").add(into[1], "double").add(into[2], SPANS)
+    return docs.select(*cols, F.col(text).alias(free(docs, "_labelled_text"))).mapInArrow(run, schema)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

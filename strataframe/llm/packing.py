@@ -15,6 +15,7 @@ one row each; an empty table gives no pieces; only the named columns are read.
 from __future__ import annotations
 
 import bisect
+import warnings
 import json
 import re
 import unicodedata
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strataframe.llm.common import BYTE_WORDS, Memo, bounded_batches, materialize
+from strataframe.llm.common import BYTE_WORDS, Memo, materialize, slices
 
 WINDOW, END_ID = 4096, 2
 #: The table of rank offsets is broadcast up to this many bytes and joined by shuffle beyond.
@@ -121,13 +122,12 @@ def bin_of(length: int, window: int) -> int:
 def tokenize(docs: DataFrame, key: str, text: str, path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """One row per document: part and place in it, doc_id, n ids, ids as '<u2' bytes, the rest's bin and
     its rank among the part's rests of that bin. The result must be written before use: ranks are of one run."""
-    bounded_batches(docs.sparkSession)
     end = np.array([end_id], "<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = parts_of(path)
         part, rank, full = TaskContext.get().partitionId(), defaultdict(int), 0
-        for batch in batches:
+        for batch in slices(batches):
             ids = [x + end for x in coder.ids([t or "" for t in batch.column(1).to_pylist()])]
             n, bins, ranks, fulls = [len(x) // 2 for x in ids], [], [], []
             for x in n:
@@ -155,7 +155,7 @@ def combinations(window: int, shortest: int = 65) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def nnls(parts: np.ndarray, target: np.ndarray, rounds: int = 120, add: int = 12, tol: float = 1e-3) -> np.ndarray:
+def nnls(parts: np.ndarray, target: np.ndarray, rounds: int = 400, add: int = 12, tol: float = 1e-3) -> np.ndarray:
     """Active-set non-negative least squares for min |A x - target|, where column j of A counts the parts[j].
     Several columns enter at a time; the inner loop steps back to the feasible set as Lawson and Hanson do."""
     m, x = len(target), np.zeros(len(parts))
@@ -193,6 +193,8 @@ def nnls(parts: np.ndarray, target: np.ndarray, rounds: int = 120, add: int = 12
                 gone = low
             x[np.array(active)[gone]] = 0
             active = [j for j, g in zip(active, gone.tolist(), strict=True) if not g]
+    else:
+        warnings.warn(f"least squares stopped after {rounds} rounds; the greedy rest packs what they left", stacklevel=2)
     return x
 
 
@@ -285,7 +287,7 @@ def place(tokens: DataFrame, window: int = WINDOW) -> DataFrame:
         offsets = F.broadcast(offsets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             cols, docs = defaultdict(list), []
             for i, (part, n, b, rank, full, base, ids) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("part", "n", "bin", "rank", "full", "base", "ids")), strict=True)):
                 wide = np.frombuffer(ids, "<u2").astype("<u4")

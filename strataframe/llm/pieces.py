@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataframe.llm.common import GOLDEN, bounded_batches, mix, runs
+from strataframe.llm.common import GOLDEN, mix, runs, slices
 
 BLOCK, THETA, SEED = "▁", 1.5, 0
 STEP = np.uint64(0xD1342543DE82EF95)
@@ -241,10 +241,9 @@ def lattices(path: str, theta: float) -> Lattices:
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", theta: float = THETA, seed: int = SEED) -> DataFrame:
     """doc_id, text and ids, a sampled segmentation."""
-    bounded_batches(docs.sparkSession, 1024)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1024):
             texts = batch.column(2).to_pylist()
             own = lattices(path, theta).sample([t or "" for t in texts], [k or "" for k in batch.column(1).to_pylist()], seed)
             ends = np.r_[0, np.cumsum([len(x) for x in own])]
@@ -257,10 +256,9 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
 
 def decode(encoded: DataFrame, path: str, theta: float = THETA) -> DataFrame:
     """Adds decoded, the text that the ids spell; encoded has doc_id, text and ids."""
-    bounded_batches(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             column = batch.column(2)
             n = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             data, ends = lattices(path, theta).spell(column.flatten().to_numpy().astype(np.int64), np.cumsum(n))

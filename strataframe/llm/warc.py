@@ -29,9 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataframe.llm.common import bounded_batches, materialize, shared_path
+from strataframe.llm.common import materialize, shared_path, slices
 
 FRAME_BYTES, BUNDLE_BYTES, LEVEL = 1 << 20, 1 << 28, 3
+#: Plain bytes of records that a task reads back.
+TASK_BYTES = 1 << 26
 #: Digests found twice or more are broadcast up to so many, of 40 bytes and an id each.
 BROADCAST_ROWS = 200_000
 #: Fixed values of the seekable format.
@@ -143,7 +145,6 @@ def typed(pages: DataFrame, least: int = 0, key: str = "page_id", url: str = "ur
 def write(pages: DataFrame, folder: str, least: int = 0, key: str = "page_id", url: str = "url", payload: str = "html", frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
     """Writes the bundles of pages into a folder that all nodes share, and the index beside them; returns the index."""
     spark = pages.sparkSession
-    bounded_batches(spark, 256)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = store(folder)
@@ -155,7 +156,7 @@ def write(pages: DataFrame, folder: str, least: int = 0, key: str = "page_id", u
             rows = [(page, name, frame, *bundle.frames[frame][:2], at, n) for page, frame, at, n in waiting]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int32(), *[pa.int64()] * 4), strict=True)], ["page_id", "bundle", "frame", "frame_at", "frame_bytes", "at", "bytes"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for page, link, data, kind, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if bundle is None:
                     name = f"{uuid.uuid4().hex}.warc.zst"
@@ -176,7 +177,6 @@ def read(index: DataFrame, folder: str) -> DataFrame:
     """All records that the index names, read from the bundles frame by frame: page_id, url, payload (null
     for a revisit), payload_bytes, payload_digest, record_type and refers_to. A response whose payload
     doesn't match its digest, or an index row that isn't a record's place, is an error."""
-    bounded_batches(index.sparkSession, 2048)
     names = ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +184,7 @@ def read(index: DataFrame, folder: str) -> DataFrame:
 
         files, root = store(folder)
         unzip, opened, held, frame = zstandard.ZstdDecompressor(), None, (None, None), b""
-        for batch in batches:
+        for batch in slices(batches):
             rows, size = [], 0
             for bundle, at, n, start, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if opened is None or opened[0] != bundle:
@@ -211,7 +211,9 @@ def read(index: DataFrame, folder: str) -> DataFrame:
         kinds = (pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
-    parts = index.select("bundle", "frame_at", "frame_bytes", "at", "bytes").repartition("bundle", "frame_at").sortWithinPartitions("bundle", "frame_at", "at")
+    # as many tasks as the records' bytes ask for: the index is small, so its own size would put all of it into one
+    size = index.agg(F.sum("bytes")).first()[0] or 0
+    parts = index.select("bundle", "frame_at", "frame_bytes", "at", "bytes").repartition(max(1, -(-size // TASK_BYTES)), "bundle", "frame_at").sortWithinPartitions("bundle", "frame_at", "at")
     return parts.mapInArrow(run, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 

@@ -1,6 +1,7 @@
 """Packing, quality and language: brute force, held-out accuracy and odd rows."""
 
 import struct
+import math
 import zlib
 
 import numpy as np
@@ -118,6 +119,46 @@ def test_quality_odd_rows(spark):
     assert quality.score(docs.limit(0), ranker).count() == 0
 
 
+def test_quality_does_not_depend_on_partitions(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    scores = lambda d, l: {r.doc_id: r.score for r in quality.score(d, quality.train(d, l)).collect()}  # noqa: E731, E741
+    assert scores(docs, labels) == scores(docs.repartition(7), labels.repartition(5).unionByName(labels.limit(40)))
+
+
+def test_pairwise_fit_by_brute_force():
+    """The same loss over the same pairs, minimised pair by pair in plain Python."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40, 3)).astype(np.float32)
+    good = x @ np.array([1.0, -2.0, 0.5]) + rng.normal(size=40) > 0
+    r = quality.fit(x, good, pairs=400, steps=150)
+    b = np.clip((np.concatenate([x, *(np.maximum(x - k, 0) for k in r.knots), x > 0], axis=1) - r.mean) / r.scale, -20, 20)
+    drawn = np.random.default_rng(7)
+    i, j = drawn.choice(np.flatnonzero(good), 400), drawn.choice(np.flatnonzero(~good), 400)
+    w, v = [0.0] * b.shape[1], [0.0] * b.shape[1]
+    for step in range(150):
+        g = [1e-3 * a for a in w]
+        for a, c in zip(i, j):
+            d = b[a] - b[c]
+            p = 1 / (1 + math.exp(float(d @ w)))
+            g = [y - p * z / 400 for y, z in zip(g, d)]
+        v = [0.9 * y - (0.3 if step < 75 else 0.1) * z for y, z in zip(v, g)]
+        w = [y + z for y, z in zip(w, v)]
+    assert np.allclose(r.weights, w, atol=1e-6)
+    s = sorted(float(y) for y in b @ np.array(w))
+    cut = int((~good).sum())
+    assert r.threshold == pytest.approx((s[cut - 1] + s[cut]) / 2, abs=1e-6)
+
+
+def test_languages_change_inside_runs(spark):
+    learn = [(i, t, x) for i, (t, x) in enumerate([("the cat and the dog were there with them", "en"), ("日本語の文章です", "ja"), ("кот и собаки были там", "ru")] * 5)]
+    model = langid.train(spark.createDataFrame(learn, "doc_id long, text string, lang string"))
+    rows = spark.createDataFrame([(1, "日本語の文章ですthere were the dogs and the cats"), (2, "cтам были собаки")], "doc_id long, text string")
+    got = {r.doc_id: r for r in langid.label(rows, model).collect()}
+    assert [s.lang for s in got[1].spans] == ["ja", "en"] and got[2].lang_pred == "ru"
+    assert langid.LETTERS.findall("日本語English") == ["日本語", "English"] and max(map(len, langid.LETTERS.findall("漢" * 50))) == langid.SHORT
+
+
 def test_language_held_out(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
