@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from strataframe.llm.common import BYTE_WORDS, GOLDEN, bounded_batches, discard, materialize, mix
+from strataframe.llm.common import BYTE_WORDS, GOLDEN, discard, materialize, mix, slices
 
 WIDTH, PERCENT = 3, 90
 #: Prefixes that make a token frequent, tokens from which sets index singly, comparisons with a hub in one task.
@@ -105,10 +105,9 @@ def signatures(t: np.ndarray, classes: Classes, percent: int = PERCENT, long: in
 
 def sets(docs: DataFrame, key: str, text: str, width: int, percent: int, rest: tuple[str, ...] = ()) -> DataFrame:
     """Written: row, key, text, n, digest (hi, lo), sketch, the prefix in plain hash order, and docs' columns `rest` as a struct."""
-    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             own = [tokens(x, width) for x in batch.column(1).to_pylist()]
             digest = np.array([divmod(xxhash.xxh3_128_intdigest(t.tobytes()), 1 << 64) for t in own], np.uint64).reshape(-1, 2).view(np.int64)
             head = [t[: missing(len(t), percent) + 1].view(np.int64) for t in own]
@@ -148,11 +147,10 @@ def classify(all_: DataFrame, frequent: int = FREQUENT) -> Classes:
 
 def postings(all_: DataFrame, reps: DataFrame, classes: Classes, width: int, percent: int, long: int) -> DataFrame:
     """Written: (sig, x, n) for each signature that two or more nodes share; x: the node's row."""
-    bounded_batches(all_.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
-        for batch in batches:
+        for batch in slices(batches):
             hi, lo = batch.column(1).to_numpy(), batch.column(2).to_numpy()
             rows, sigs = [], []
             for i, (text, node) in enumerate(zip(batch.column(0).to_pylist(), zip(hi.tolist(), lo.tolist(), strict=True), strict=True)):
@@ -183,7 +181,6 @@ def few(df: DataFrame) -> DataFrame:
 def verify(pairs: DataFrame, all_: DataFrame, width: int) -> DataFrame:
     """Written: a, b, both and either (sizes of intersection and union) of pairs (a, b) of nodes. A hub's
     text goes to one task per PER_TASK partners; a task holds one hub's tokens at a time."""
-    bounded_batches(all_.sparkSession)
     pairs = materialize(pairs, "jaccard-pairs")
     hubs_ = materialize(pairs.groupBy("a").count().where(F.col("count") > PER_TASK), "jaccard-hubs")
     dealt = pairs.join(few(hubs_), "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.ceil(F.col("count") / PER_TASK)), F.lit(0)).alias("part"))
@@ -194,7 +191,7 @@ def verify(pairs: DataFrame, all_: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub = own = None
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for a, b, text in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text")), strict=True):
                 t = tokens(text, width)
@@ -267,11 +264,10 @@ def could_meet(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
 
 def likely(pairs: DataFrame, all_: DataFrame, percent: int) -> DataFrame:
     """Those of pairs (a, b) that could link."""
-    bounded_batches(all_.sparkSession, 4096)
     side = lambda c: all_.select(F.col("row").alias(c), F.col("sketch").alias(f"{c}_sketch"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             keep = pa.array(could(sketched(batch.column(2)), sketched(batch.column(3)), percent))
             yield pa.RecordBatch.from_arrays([c.filter(keep) for c in batch.columns[:2]], ["a", "b"])
 
@@ -281,7 +277,6 @@ def likely(pairs: DataFrame, all_: DataFrame, percent: int) -> DataFrame:
 def between(rest: DataFrame, all_: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
     """rest: (sig, x, c, size). Pairs (a, b) of nodes that share a signature, are in different components c and could link.
     A signature of more than `block` nodes is cut into parts, and each two parts meet in a task of their own."""
-    bounded_batches(all_.sparkSession, 2048)
     parts = F.ceil(F.col("size") / block).cast("int")
     rows = rest.join(all_.select(F.col("row").alias("x"), "sketch"), "x").withColumn("part", F.pmod(F.xxhash64("x"), parts).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
@@ -307,7 +302,7 @@ def between(rest: DataFrame, all_: DataFrame, percent: int, block: int = BLOCK)
             code = np.unique(np.concatenate([np.stack(x, axis=1) for x in out] or [np.zeros((0, 2), np.int64)]), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(code[:, 0]), pa.array(code[:, 1])], ["a", "b"])
 
-        for batch in batches:
+        for batch in slices(batches):
             now = [np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)], axis=1), *(batch.column(i).to_numpy() for i in (3, 4, 5)), sketched(batch.column(6))]
             if held is not None:
                 now = [np.concatenate(x) for x in zip(held, now, strict=True)]

@@ -132,3 +132,23 @@ def test_many_equal_vectors(spark):
     want = exact([(r.vec_id, list(r.embedding)) for r in df.collect()], 5, 100)
     assert {q: [j for _, j in sorted(v)] for q, v in got.items() if q < 600} == {q: [j for _, j in v] for q, v in want.items() if q < 600}
     assert all(len(v) == 5 for v in got.values())
+
+
+def test_large_shards_and_passes(spark, monkeypatch):
+    """Cells and hops instead of all comparisons, and several blocks of queries, on vectors without clusters."""
+    x = np.random.default_rng(6).normal(size=(6000, 24)).astype("f4")
+    monkeypatch.setattr(ann, "EXACT", 1000)
+    monkeypatch.setattr(ann, "AROUND", 1500)
+    graph = ann.build(x)
+    hits = 0
+    for i, found in zip(range(0, 6000, 60), ann.search(x, *graph, x[::60], ann.BEAM)):
+        hits += len({i, *np.argsort(((x - x[i]) ** 2).sum(axis=1))[:11]} & set(found[:11].tolist()))
+    assert hits >= 0.95 * 11 * 100
+    near = ann.near_cells(x, 64, 1500)
+    assert (ann.refined(x, near) >= -1).all() and all(i not in row for i, row in enumerate(ann.refined(x, near)))
+    monkeypatch.undo()
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x[:3000].tolist())], "vec_id long, embedding array<float>")
+    queries = df.selectExpr("vec_id as id", "embedding as v").where("id % 100 = 0")
+    one = sorted(map(tuple, ann.lookup(ann.index(df, 10, shard_rows=1000), queries, 10).collect()))
+    two = sorted(map(tuple, ann.lookup(ann.index(df.repartition(7), 10, shard_rows=1000), queries.repartition(3), 10, query_bytes=1000).collect()))
+    assert one == two and len(one) == 300
