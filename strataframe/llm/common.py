@@ -56,9 +56,9 @@ def tables(spark: SparkSession) -> Iterator[None]:
             delete(spark, path)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends there, and lost executors cost nothing. Its shuffle
-    files go at once; the table stays until discard() or the end of the block of tables() it was written in."""
+    files go at once; the table stays until discard() or, unless it is to be kept, the end of the block of tables() it was written in."""
     spark, path = df.sparkSession, shared_path(df.sparkSession, label)
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
@@ -68,7 +68,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
-    if (paths := _scope.get()) is not None:
+    if not keep and (paths := _scope.get()) is not None:
         paths.append(path)
     return out
 

@@ -474,3 +474,31 @@ def test_pipeline(spark, sf):
     for _, stage in C.STAGES:
         stage(spark, odd, sf).count()
         stage(spark, docs.limit(0), sf).count()
+
+
+def test_pipeline_keeps_clashing_columns(spark, sf, tmp_path):
+    import corpus_pipeline as C
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    extra = docs.selectExpr("*", "concat('s', doc_id) as score", "string(doc_id) as spans", "doc_id % 3 as lang_pred", "array(doc_id) as row", "doc_id as key", "source as hi", "text as _text", "struct(doc_id) as rest")
+    want = {r.doc_id: r for r in extra.collect()}
+    kept = extra
+    for _, stage in C.STAGES[:-1]:
+        kept = stage(spark, kept, sf)
+        assert kept.columns == extra.columns and kept.schema.simpleString() == extra.schema.simpleString()
+        rows = kept.collect()
+        assert rows and all(r == want[r.doc_id] for r in rows)
+    assert C.STAGES[-1][1](spark, kept, sf).count() >= len(rows)
+
+
+def test_tables_go_with_their_block_only(spark, sf):
+    from strataframe.llm import common, jaccard
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    files = lambda: set(spark._jvm.org.apache.hadoop.fs.Path(common.shared_root(spark)).getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{common.shared_root(spark)}/strataframe")))
+    other = jaccard.distinct(docs)
+    before = len(files())
+    with common.tables(spark):
+        n = jaccard.distinct(docs).count()
+        assert len(files()) > before
+    assert len(files()) == before and other.count() == n
