@@ -1,21 +1,27 @@
 """N-gram Jaccard self-join with token-combination prefixes.
 
-A document is the set of its distinct word shingles ("tokens"). Two sets with intersection >= t * union
-miss at most e = (1 - t) * n of the n tokens of either, so in any common order of all tokens the first ones
-(the prefixes) must share something. Tokens of one prefix come first, then those of a few, then those of FREQUENT or more. A
-prefix is extended until its rare tokens and, less one, its frequent tokens are more than e: then
-linked sets share a rare token or a pair of frequent tokens, and those are indexed. From LONG tokens on, sets
-also index frequent tokens singly instead of in pairs, whose number grows with the square of e; sets just
-below LONG do both, as they may link with longer ones. Every candidate is verified exactly.
+A document is the set of its distinct word shingles ("tokens"). Two sets with intersection >= t * union miss
+few of each other's tokens: the larger at most (1 - t) * n of its n tokens, the smaller at most (1 - t) / (1 + t) * n. In a
+common order of all tokens (rare ones first, then by hash) a set's prefix is extended until what it covers exceeds that
+bound: a rare token covers one, and frequent tokens are dealt by a hash to classes, of which each covers its tokens in the
+prefix less one. If two linked sets shared neither a rare token nor a pair of frequent tokens of one class within their
+prefixes, then the set whose prefix ends first would miss as many tokens as its prefix covers. So rare tokens are indexed
+singly and frequent ones by pairs within their class. The number of classes grows with the sizes of sets (by powers of two, CLASS
+tokens of a prefix to a class), so a set has some signatures for each token it may miss, however long it is; the
+smaller set of a pair indexes for its own power of two and the next, where its partner may be. A signature counts
+for a pair only if the smaller set has it within its shorter prefix. Every candidate is verified exactly.
 
 Equal sets are one node. Of the nodes that share a signature, all are compared with a hub, or with a few if they are many, and
-the links found make components. Nodes of a signature that are then in several components are compared in blocks of at most BLOCK, by
-their counts of tokens in BUCKETS ranges of the hash: the sum of the smaller counts is the most that two sets can share,
-and only pairs that could link leave the block to be verified. So nothing is lost, and neither a large group of near copies nor a
+the links found make components. Of nodes of a signature that are then in several components, those leave that have more
+tokens of their own than any link allows, again and again, as their leaving makes more tokens others' own; what is left is
+compared in blocks of at most BLOCK, by counts of tokens in BUCKETS ranges of the hash: the sum of the smaller counts is the most that two sets
+can share, and only pairs that could link leave the block to be verified. So nothing is lost, and neither a large group of near copies nor a
 passage that many share turns into pairs.
 
-Frequency affects cost, never results: the classes are two bitmaps over counts of all documents, eight bits for each
-token that two prefixes share, MOST_CELLS bits at most. Candidates, links and components stay in Spark; hubs with many partners are dealt to several tasks.
+Frequency affects cost, never results: the classes are two bitmaps of at most MOST_CELLS bits, eight bits for each token they
+hold; where more tokens are shared, more occurrences are asked of a token until those left fit. A hot signature is one
+row of each task before it moves, and joins of its nodes to its hubs are ones that Spark may split. Candidates,
+links and components stay in Spark; hubs with many partners are dealt to several tasks.
 
 Defined results: null or wordless text is linked with nothing and has no shingles; fewer words than the width
 make one shingle; a null key is a row whose component takes the smallest other key, or null; repeated rows are
@@ -27,23 +33,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from strataframe.llm.common import BYTE_WORDS, GOLDEN, discard, materialize, mix, slices
 
 WIDTH, PERCENT = 3, 90
-#: Prefixes that make a token frequent, tokens from which sets index singly, comparisons with a hub in one task.
-FREQUENT, LONG, PER_TASK = 8, 640, 128
+#: Prefixes that make a token frequent, comparisons with a hub in one task, tokens of a prefix to a class of frequent ones.
+FREQUENT, PER_TASK, CLASS = 8, 128, 2
 #: Bits of a bitmap at most, and of a part of it; rows of a block; hash ranges of a sketch.
 MOST_CELLS, PART, BLOCK, BUCKETS = 1 << 27, 1 << 15, 1024, 256
-#: Hubs of a signature of more than CROWD nodes; any other has one.
-HUBS, CROWD, BROADCAST_ROWS = 8, 16, 500_000
+#: Hubs of a signature of more than CROWD nodes; any other has one. Rounds in which nodes with many own tokens leave.
+HUBS, CROWD, BROADCAST_ROWS, PEELS = 8, 16, 500_000, 4
 
 
 def tokens(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -65,6 +69,18 @@ def missing(n, percent: int = PERCENT):
     return n * (100 - percent) // 100
 
 
+def missing_smaller(n: int, percent: int = PERCENT) -> int:
+    """How many of its n tokens a set may lack in a partner that isn't smaller."""
+    return n - -(-2 * percent * n // (100 + percent))
+
+
+def classes_of(band: int, percent: int = PERCENT) -> int:
+    """Classes of frequent tokens for pairs whose larger set has 2 ** band to 2 ** (band + 1) - 1 tokens; 0: single tokens. No more than
+    leave the smallest set of such a pair enough to cover."""
+    least = -(-percent * (1 << band) // 100)
+    return min(max(1, missing(2 << band, percent) // CLASS), -(-percent * least // 100) - 1)
+
+
 def sketch(t: np.ndarray) -> bytes:
     """Counts of tokens by range of the hash, of the narrowest of three widths that holds them."""
     counts = np.bincount((t >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64), minlength=BUCKETS)
@@ -73,7 +89,7 @@ def sketch(t: np.ndarray) -> bytes:
 
 
 class Classes:
-    """Two bitmaps over the last bits of tokens: of those that two or more prefixes hold, and of the frequent ones."""
+    """Two bitmaps over the last bits of tokens: of those that several prefixes hold, and of the frequent ones."""
 
     def __init__(self, shared: np.ndarray, frequent: np.ndarray):
         self.shared, self.frequent = shared, frequent
@@ -84,23 +100,54 @@ class Classes:
         return (self.shared[cell >> 3] & bit > 0).astype(np.int8) + (self.frequent[cell >> 3] & bit > 0)
 
 
-def signatures(t: np.ndarray, classes: Classes, percent: int = PERCENT, long: int = LONG) -> np.ndarray:
-    """What a set of sorted tokens is indexed by."""
-    n = len(t)
-    e = missing(n, percent)
-    kind = classes(t)
+def combined(common: np.ndarray, need: int, short: int, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of frequent tokens, in their order, whose prefix covers `need`, and which of them are within the prefix that
+    covers `short`."""
+    salt = np.uint64((classes + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    if not classes:
+        return mix(common[:need] ^ salt), np.arange(min(need, len(common))) < short
+    c = common[: 4 * (need + classes) + 8]
+    while True:
+        own = (mix(c + salt) % np.uint64(classes)).astype(np.int64)
+        order = np.argsort(own, kind="stable")
+        first = np.zeros(len(c), bool)
+        first[order[np.r_[True, own[order][1:] != own[order][:-1]][: len(c)]]] = True
+        covered = np.cumsum(~first)
+        if len(c) == len(common) or (len(c) and covered[-1] >= need):
+            break
+        c = common[: 2 * len(c)]
+    end, near = np.searchsorted(covered, need) + 1, np.searchsorted(covered, short) + 1 if short > 0 else 0
+    order = order[order < end]
+    own, at, inside = own[order], [], []
+    for d in range(1, len(order)):
+        same = np.flatnonzero(own[d:] == own[:-d])
+        if not len(same):
+            break  # runs of a class are shorter than this
+        a, b = order[same], order[same + d]
+        at.append(np.stack([a, b]))
+        inside.append(b < near)
+    if not at:
+        return np.zeros(0, np.uint64), np.zeros(0, bool)
+    (a, b), inside_ = np.concatenate(at, axis=1), np.concatenate(inside)
+    with np.errstate(over="ignore"):
+        return mix((c[a] * GOLDEN + c[b]) ^ salt), inside_
+
+
+def signatures(t: np.ndarray, classes: Classes, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """What a set of sorted tokens is found by as the larger of a pair, and as the smaller: signatures, and whether each is
+    one as the smaller."""
+    n, kind = len(t), classes(t)
+    long, short = missing(n, percent) + 1, missing_smaller(n, percent) + 1
     rare, common = np.concatenate([t[kind == 0], t[kind == 1]]), t[kind == 2]
-    out = [rare[: e + 1]]
-    need = e + 1 - len(rare)
-    if need > 0:
-        with np.errstate(over="ignore"):
-            if n < long:
-                c = common[: need + 1]
-                i, j = np.triu_indices(len(c), 1)
-                out.append(mix(c[i] * GOLDEN + c[j]))
-            if n * 100 >= long * percent:
-                out.append(mix(common[:need] ^ GOLDEN))
-    return np.concatenate(out)
+    out, small = [rare[:long]], [np.arange(min(long, len(rare))) < short]
+    own = n.bit_length() - 1
+    for band in range(own, (n * 100 // percent).bit_length()):
+        need, near = (long if band == own else short) - len(rare), short - len(rare)
+        if need > 0:
+            sig, inside = combined(common, need, near, classes_of(band, percent))
+            out.append(sig)
+            small.append(inside)
+    return np.concatenate(out), np.concatenate(small)
 
 
 def sets(docs: DataFrame, key: str, text: str, width: int, percent: int, rest: tuple[str, ...] = ()) -> DataFrame:
@@ -122,55 +169,64 @@ def sets(docs: DataFrame, key: str, text: str, width: int, percent: int, rest: t
     return materialize(made.withColumn("row", F.monotonically_increasing_id()), "jaccard-sets")
 
 
-def classify(all_: DataFrame, frequent: int = FREQUENT) -> Classes:
-    """Counts the prefixes' tokens; at most MOST_CELLS / PART rows of two bitmaps' parts reach the driver."""
-    shared = all_.select(F.explode("head").alias("t")).groupBy("t").count().where("count > 1")
-    shared = materialize(shared.select("t", (F.col("count") >= frequent).alias("often")), "jaccard-shared")
-    cells = min(MOST_CELLS, max(1 << 20, 1 << (8 * shared.count()).bit_length()))
+def classify(all_: DataFrame, frequent: int = FREQUENT, most: int = MOST_CELLS) -> Classes:
+    """Counts the prefixes' tokens; at most `most` / PART rows of two bitmaps' parts reach the driver. A bitmap has eight bits for
+    each token in it; beyond `most` bits, the least count of shared tokens doubles until those left fit."""
+    counts = all_.select(F.explode("head").alias("t")).groupBy("t").agg(F.count("*").alias("c")).where("c > 1")
+    counts = materialize(counts, "jaccard-shared")
+    sizes = dict(map(tuple, counts.groupBy(F.floor(F.log2("c")).cast("int")).count().collect()))  # a row per power of two
+    low = next(k for k in range(1, 65) if 8 * sum(n for j, n in sizes.items() if j >= k) <= most)
+    held = sum(n for j, n in sizes.items() if j >= low)
+    cells = min(most, max(1 << 20, 1 << (8 * held).bit_length()))
+    often = max(frequent, 1 << low if low > 1 else 0)
     cell = F.col("t").bitwiseAND(F.lit(cells - 1))
 
-    def part(pdf: pd.DataFrame) -> pd.DataFrame:
+    def part(key: tuple, group: pa.Table) -> pa.Table:
         bits = np.zeros((2, PART), bool)
-        at = pdf["cell"].to_numpy() & (PART - 1)
+        at = group["cell"].to_numpy() & (PART - 1)
         bits[0, at] = True
-        bits[1, at[pdf["often"].to_numpy()]] = True
+        bits[1, at[group["often"].to_numpy(zero_copy_only=False).astype(bool)]] = True
         one, two = np.packbits(bits, axis=1, bitorder="little")
-        return pd.DataFrame([(pdf["cell"].iat[0] // PART, one.tobytes(), two.tobytes())], columns=["part", "one", "two"])
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "one": [one.tobytes()], "two": [two.tobytes()]})
 
-    cut = shared.groupBy(cell.alias("cell")).agg(F.max("often").alias("often"))
+    cut = counts.where(F.col("c") >= (1 << low)).groupBy(cell.alias("cell")).agg(F.max(F.col("c") >= often).alias("often"))
     maps = np.zeros((2, cells // PART, PART // 8), np.uint8)
-    for r in cut.groupBy(F.expr(f"cell div {PART}").alias("p")).applyInPandas(part, "part long, one binary, two binary").collect():
+    for r in cut.groupBy(F.expr(f"cell div {PART}").alias("p")).applyInArrow(part, "part long, one binary, two binary").collect():
         maps[0, r.part], maps[1, r.part] = np.frombuffer(r.one, np.uint8), np.frombuffer(r.two, np.uint8)
-    discard(shared)
+    discard(counts)
     return Classes(maps[0].ravel(), maps[1].ravel())
 
 
-def postings(all_: DataFrame, reps: DataFrame, classes: Classes, width: int, percent: int, long: int) -> DataFrame:
-    """Written: (sig, x, n) for each signature that two or more nodes share; x: the node's row."""
+def postings(all_: DataFrame, reps: DataFrame, classes: Classes, width: int, percent: int) -> DataFrame:
+    """Written: (sig, x, n, small) for each signature that two or more nodes share, one of them as the smaller; x: the node's
+    row; small: whether it has it as the smaller."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
         for batch in slices(batches):
             hi, lo = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            rows, sigs = [], []
+            rows, sigs, small = [], [], []
             for i, (text, node) in enumerate(zip(batch.column(0).to_pylist(), zip(hi.tolist(), lo.tolist(), strict=True), strict=True)):
                 if node not in seen:  # of a task's equal sets, one is enough
                     if len(seen) >= 200_000:
                         seen.clear()
                     seen.add(node)
-                    s = signatures(tokens(text, width), classes, percent, long)
+                    s, f = signatures(tokens(text, width), classes, percent)
                     rows.append((i, len(s)))
                     sigs.append(s)
+                    small.append(f)
             at = np.repeat(*np.array(rows, np.int64).reshape(-1, 2).T)
-            s = np.concatenate([*sigs, np.zeros(0, np.uint64)]).view(np.int64)
+            s, f = np.concatenate([*sigs, np.zeros(0, np.uint64)]).view(np.int64), np.concatenate([*small, np.zeros(0, bool)])
             for k in range(0, len(s), 100_000):
                 some = at[k : k + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(s[k : k + 100_000]), pa.array(hi[some]), pa.array(lo[some])], ["sig", "hi", "lo"])
+                yield pa.RecordBatch.from_arrays([pa.array(s[k : k + 100_000]), pa.array(hi[some]), pa.array(lo[some]), pa.array(f[k : k + 100_000])], ["sig", "hi", "lo", "small"])
 
-    made = all_.where("n > 0").select("text", "hi", "lo").mapInArrow(run, "sig long, hi long, lo long")
-    w = Window.partitionBy("sig")
-    shared = made.select("*", *(f(c).over(w).alias(f"{k}_{c}") for c in ("hi", "lo") for k, f in (("min", F.min), ("max", F.max)))).where("min_hi <> max_hi or min_lo <> max_lo")
-    return materialize(shared.select("sig", "hi", "lo").join(reps, ["hi", "lo"]).select("sig", "x", "n").distinct(), "jaccard-postings")
+    made = materialize(all_.where("n > 0").select("text", "hi", "lo").mapInArrow(run, "sig long, hi long, lo long, small boolean"), "jaccard-signatures")
+    shared = made.groupBy("sig").agg(F.min("hi").alias("a"), F.max("hi").alias("b"), F.max("small").alias("any")).where("a <> b and any").select("sig")
+    out = made.join(shared, "sig", "left_semi").join(reps, ["hi", "lo"]).groupBy("sig", "x", "n").agg(F.max("small").alias("small"))
+    out = materialize(out, "jaccard-postings")
+    discard(made)
+    return out
 
 
 def few(df: DataFrame) -> DataFrame:
@@ -267,28 +323,66 @@ def likely(pairs: DataFrame, all_: DataFrame, percent: int) -> DataFrame:
     side = lambda c: all_.select(F.col("row").alias(c), F.col("sketch").alias(f"{c}_sketch"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, 4096):
             keep = pa.array(could(sketched(batch.column(2)), sketched(batch.column(3)), percent))
             yield pa.RecordBatch.from_arrays([c.filter(keep) for c in batch.columns[:2]], ["a", "b"])
 
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_sketch", "b_sketch").mapInArrow(run, "a long, b long")
 
 
+def peeled(rest: DataFrame, all_: DataFrame, width: int, percent: int, rounds: int = PEELS) -> DataFrame:
+    """rest (sig, x, n, small, c), with solo: how many of x's tokens no other node of rest has; without nodes that
+    have more than a link with a larger or smaller set allows."""
+    names = materialize(rest.select("x", "n").distinct(), "jaccard-peeled")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 256):
+            own = [tokens(t, width) for t in batch.column(1).to_pylist()]
+            at = np.repeat(batch.column(0).to_numpy(), [len(t) for t in own])
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.concatenate([*own, np.zeros(0, np.uint64)]).view(np.int64))], ["x", "t"])
+
+    texts = all_.select(F.col("row").alias("x"), "text").join(few(names.select("x")), "x", "left_semi")
+    all_tokens = materialize(texts.mapInArrow(run, "x long, t long"), "jaccard-tokens")
+    for _ in range(rounds):
+        before = names
+        some = all_tokens.join(few(names.select("x")), "x", "left_semi")
+        solo = some.groupBy("t").agg(F.count("*").alias("k"), F.min("x").alias("x")).where("k = 1").groupBy("x").agg(F.count("*").alias("solo"))
+        counted = before.select("x", "n").join(solo, "x", "left").select("x", "n", F.coalesce("solo", F.lit(0)).alias("solo"))
+        names = materialize(counted.where(F.col("solo") * percent <= F.col("n") * (100 - percent)), "jaccard-peeled")
+        left, was = names.count(), before.count()
+        discard(before)
+        if left == was:
+            break
+    discard(all_tokens)
+    out = materialize(rest.join(names.select("x", "solo"), "x"), "jaccard-rest")
+    discard(names)
+    return out
+
+
 def between(rest: DataFrame, all_: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """rest: (sig, x, c, size). Pairs (a, b) of nodes that share a signature, are in different components c and could link.
-    A signature of more than `block` nodes is cut into parts, and each two parts meet in a task of their own."""
+    """rest: (sig, x, n, small, c, solo, size). Pairs (a, b) of nodes that share a signature, which the smaller has as such, are in
+    different components c and could link. A signature of more than `block` nodes is cut into parts, and each two parts meet in
+    a task of their own."""
     parts = F.ceil(F.col("size") / block).cast("int")
     rows = rest.join(all_.select(F.col("row").alias("x"), "sketch"), "x").withColumn("part", F.pmod(F.xxhash64("x"), parts).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    rows = rows.select("sig", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "x", "c", "sketch")
+    rows = rows.select("sig", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "x", "c", "n", "solo", F.col("small").cast("long").alias("small"), "sketch")
 
-    def pairs(part: np.ndarray, x: np.ndarray, c: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(part: np.ndarray, x: np.ndarray, c: np.ndarray, n: np.ndarray, solo: np.ndarray, small: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         one = np.flatnonzero(part == part.min())
         two = one if (part == part[0]).all() else np.flatnonzero(part != part.min())
         found = []
         for at in range(0, len(one), 256):
             some = one[at : at + 256]
-            i, j = np.nonzero((c[some][:, None] != c[two]) & could_meet(k[some], k[two], percent))
+            a, b = n[some][:, None], n[two][None]
+            most = np.minimum((n - solo)[some][:, None], (n - solo)[two][None])
+            may = (c[some][:, None] != c[two]) & (most * 100 >= percent * (a + b - most)) & (((a <= b) & (small[some][:, None] > 0)) | ((b <= a) & (small[two][None] > 0)))
+            i, j = np.nonzero(may)
+            if len(i) * 8 > may.size:
+                i, j = np.nonzero(may & could_meet(k[some], k[two], percent))
+            else:
+                fits = np.concatenate([could(k[some[i[h : h + 4096]]], k[two[j[h : h + 4096]]], percent) for h in range(0, len(i), 4096)] or [np.zeros(0, bool)])
+                i, j = i[fits], j[fits]
             found.append(np.stack([x[some[i]], x[two[j]]]))
         a, b = np.concatenate(found, axis=1)
         return np.minimum(a, b), np.maximum(a, b)
@@ -302,8 +396,8 @@ def between(rest: DataFrame, all_: DataFrame, percent: int, block: int = BLOCK)
             code = np.unique(np.concatenate([np.stack(x, axis=1) for x in out] or [np.zeros((0, 2), np.int64)]), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(code[:, 0]), pa.array(code[:, 1])], ["a", "b"])
 
-        for batch in slices(batches):
-            now = [np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)], axis=1), *(batch.column(i).to_numpy() for i in (3, 4, 5)), sketched(batch.column(6))]
+        for batch in slices(batches, 2048):
+            now = [np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)], axis=1), *(batch.column(i).to_numpy() for i in range(3, 9)), sketched(batch.column(9))]
             if held is not None:
                 now = [np.concatenate(x) for x in zip(held, now, strict=True)]
             if not len(now[0]):
@@ -319,25 +413,38 @@ def between(rest: DataFrame, all_: DataFrame, percent: int, block: int = BLOCK)
 
 
 def links(posts: DataFrame, all_: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) enough to connect all nodes that any links connect."""
-    by = Window.partitionBy("sig")
-    ranked = posts.select("*", F.row_number().over(by.orderBy("x")).alias("rank"), F.count("*").over(by).alias("all")).withColumn("hubs", F.when(F.col("all") > CROWD, HUBS).otherwise(1))
-    hubs = ranked.where("rank <= hubs").select("sig", F.col("x").alias("a"), F.col("n").alias("m"))
+    """Links (a, b) enough to connect all nodes that any links connect. A signature's hubs are its least nodes by residue of
+    a hash, of which each task knows its own; so no task holds a signature's nodes."""
+    residue = F.pmod(F.xxhash64("x"), F.lit(HUBS))
+    least = [F.min(F.when(residue == k, F.col("x"))).alias(f"h{k}") for k in range(HUBS)]
+    hubs = posts.groupBy("sig").agg(F.count("*").alias("all"), *least)
+    each = F.array_compact(F.array(*(F.col(f"h{k}") for k in range(HUBS))))
+    hubs = materialize(hubs.select("sig", F.when(F.col("all") > CROWD, each).otherwise(F.array(F.array_min(each))).alias("hubs")), "jaccard-hubs-of")
+    sizes = posts.select(F.col("x").alias("a"), F.col("n").alias("m")).distinct()
     near = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-    star = posts.join(hubs, "sig").where((F.col("x") > F.col("a")) & near).select("a", F.col("x").alias("b")).distinct()
+    star = posts.select("sig", "x", "n").join(hubs, "sig").select("x", "n", "hubs", F.explode("hubs").alias("a"))
+    star = star.where((F.col("x") > F.col("a")) | ((F.col("x") < F.col("a")) & ~F.array_contains("hubs", F.col("x")))).select("a", "x", "n").distinct()
+    star = star.join(sizes, "a").where(near).select("a", F.col("x").alias("b"))
     found = linked(verify(likely(star, all_, percent), all_, width), percent)
-    rest = ranked.where("rank > hubs").select("sig", "x").join(components(found), "x", "left").withColumn("c", F.coalesce("c", "x"))
-    rest = rest.select("*", F.min("c").over(by).alias("c0"), F.max("c").over(by).alias("c1"), F.count("*").over(by).alias("size")).where("c0 <> c1")
-    rest = materialize(rest.select("sig", "x", "c", "size"), "jaccard-rest")
-    out = found.unionByName(linked(verify(between(rest, all_, percent), all_, width), percent))
+    named = posts.join(components(found), "x", "left").withColumn("c", F.coalesce("c", "x")).join(hubs, "sig")
+    named = named.where(~F.array_contains("hubs", F.col("x"))).drop("hubs")  # a hub has met all others
+    named = materialize(named, "jaccard-named")
+    several = named.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.max("small").alias("any")).where("c0 <> c1 and any").select("sig")
+    rest = materialize(named.join(several, "sig", "left_semi"), "jaccard-several")
+    discard(named, hubs)
+    if rest.isEmpty():
+        return found
+    rest = peeled(rest, all_, width, percent)
+    size = rest.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1")
+    out = found.unionByName(linked(verify(between(rest.join(size, "sig"), all_, percent), all_, width), percent))
     discard(rest)
     return out
 
 
-def grouped(all_: DataFrame, width: int, percent: int, frequent: int = FREQUENT, long: int = LONG) -> DataFrame:
+def grouped(all_: DataFrame, width: int, percent: int, frequent: int = FREQUENT) -> DataFrame:
     """all_: as of sets(). row, key, n, component (the first row of the component) and component_key (its smallest key)."""
     reps = materialize(all_.where("n > 0").groupBy("hi", "lo").agg(F.min("row").alias("x"), F.min("key").alias("least"), F.min("n").alias("n")), "jaccard-reps")
-    posts = postings(all_, reps.select("hi", "lo", "x", "n"), classify(all_, frequent), width, percent, long)
+    posts = postings(all_, reps.select("hi", "lo", "x", "n"), classify(all_, frequent), width, percent)
     comp = components(links(posts, all_, width, percent))
     discard(posts)
     named = reps.join(comp, "x", "left").withColumn("c", F.coalesce("c", "x"))
@@ -347,9 +454,9 @@ def grouped(all_: DataFrame, width: int, percent: int, frequent: int = FREQUENT,
     return rows.select("row", "key", "n", F.coalesce("c", "row").alias("component"), F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("key")).alias("component_key"))
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, frequent: int = FREQUENT, long: int = LONG) -> DataFrame:
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
     """One row per document: row (a number of its own), key, n (its tokens), component and component_key."""
-    return grouped(sets(docs, key, text, width, percent), width, percent, frequent, long)
+    return grouped(sets(docs, key, text, width, percent), width, percent, frequent)
 
 
 def distinct(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:

@@ -45,11 +45,11 @@ def corpus(seed, n=60):
     return list(zip(keys, docs))
 
 
-@pytest.mark.parametrize("seed, width, percent, frequent, long", [(1, 3, 90, 8, 640), (2, 5, 80, 2, 640), (3, 2, 70, 2, 20), (4, 3, 80, 3, 60)])
-def test_join(spark, seed, width, percent, frequent, long):
+@pytest.mark.parametrize("seed, width, percent, frequent", [(1, 3, 90, 8), (2, 5, 80, 2), (3, 2, 70, 2), (4, 3, 80, 3), (5, 2, 50, 2)])
+def test_join(spark, seed, width, percent, frequent):
     docs = corpus(seed)
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = jaccard.join(df, width=width, percent=percent, frequent=frequent, long=long).collect()
+    got = jaccard.join(df, width=width, percent=percent, frequent=frequent).collect()
     assert sorted(((r.key, r.n, r.component_key) for r in got), key=repr) == brute(docs, width, percent)
 
 
@@ -63,13 +63,48 @@ def test_join_odd_rows(spark):
     assert jaccard.join(df.limit(0)).count() == 0
 
 
-def test_blocks_lose_nothing(spark):
+@pytest.mark.parametrize("percent", [50, 70, 80, 90, 95])
+def test_linked_sets_share_a_signature(percent):
+    """Pairs at and above the threshold, of all sizes, whatever tokens are frequent; and few signatures for long sets."""
+    rng = np.random.default_rng(percent)
+    for round_ in range(400):
+        n = int(rng.choice([1, 2, 3, 5, 9, 10, 11, 20, 60, 127, 128, 129, 300, 2000]))
+        share = rng.choice([0.0, 0.3, 0.9, 1.0])
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        lost = rng.choice(a, rng.integers(0, jaccard.missing(len(a), percent) + 1), replace=False)
+        b = np.union1d(np.setdiff1d(a, lost), rng.integers(0, 1 << 63, int(rng.integers(0, 2 + jaccard.missing(len(a), percent)))).astype(np.uint64))
+        both = len(np.intersect1d(a, b))
+        if 100 * both < percent * len(np.union1d(a, b)):
+            continue
+        known = np.union1d(a, b)
+        kind = dict(zip(known.tolist(), rng.choice([0, 1, 2], len(known), p=[(1 - share) / 2, (1 - share) / 2, share]).tolist()))
+        classes = lambda t: np.array([kind[x] for x in t.tolist()], np.int8)  # noqa: E731, B023
+        small, large = sorted((a, b), key=len)
+        (s, inside), (o, _) = jaccard.signatures(small, classes, percent), jaccard.signatures(large, classes, percent)
+        assert len(np.intersect1d(s[inside], o)), (len(a), len(b), both, share)
+    for n in (1000, 10_000, 100_000):
+        t = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        assert len(jaccard.signatures(t, lambda t: np.full(len(t), 2, np.int8), percent)[0]) <= 9 * (jaccard.missing(n, percent) + 1)
+
+
+def test_bitmaps_are_bounded(spark, monkeypatch):
+    docs = corpus(11, 90)
+    all_ = jaccard.sets(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", 3, 80)
+    monkeypatch.setattr(jaccard, "PART", 1 << 9)
+    one, two = jaccard.classify(all_, 2), jaccard.classify(all_, 2, most=1 << 9)
+    assert 8 * len(two.shared) == 1 << 9 < 8 * len(one.shared)
+    assert 0 < np.unpackbits(two.shared).sum() <= 1 << 6 < np.unpackbits(one.shared).sum()
+
+
+def test_blocks_and_peeling_lose_nothing(spark):
     docs = corpus(9, 90)
     df = spark.createDataFrame(docs, "doc_id long, text string")
     all_ = jaccard.sets(df, "doc_id", "text", 3, 90)
-    nodes = all_.where("n > 0").groupBy("hi", "lo").agg(__import__("pyspark.sql.functions", fromlist=["min"]).min("row").alias("x")).select("x")
-    rows = jaccard.materialize(nodes.selectExpr("1L as sig", "x", "x as c", f"{nodes.count()}L as size"), "test")
-    pairs = {(r.a, r.b) for r in jaccard.between(rows, all_, 90, block=7).collect()}
+    nodes = all_.where("n > 0").groupBy("hi", "lo").agg(__import__("pyspark.sql.functions", fromlist=["min"]).min("row").alias("x"), __import__("pyspark.sql.functions", fromlist=["min"]).min("n").alias("n"))
+    rows = jaccard.materialize(nodes.selectExpr("1L as sig", "x", "n", "true as small", "x as c"), "test")
+    rest = jaccard.peeled(rows, all_, 3, 90)
+    assert 0 < rest.count() < rows.count()
+    pairs = {(r.a, r.b) for r in jaccard.between(rest.selectExpr("*", f"{rest.count()}L as size"), all_, 90, block=7).collect()}
     own = {r.row: jaccard.tokens(r.text) for r in all_.collect()}
     for a, b in combinations(sorted(r.x for r in nodes.collect()), 2):
         both = len(np.intersect1d(own[a], own[b]))
@@ -77,6 +112,16 @@ def test_blocks_lose_nothing(spark):
             assert (a, b) in pairs
 
 
+def test_one_template_with_own_words_each(spark):
+    """Many texts that share four fifths with all others and are linked with none: linear work, no pair is compared in full."""
+    rnd = random.Random(3)
+    template = [f"t{i}" for i in range(170)]
+    docs = [(i, " ".join(template + [f"own{i}x{j}" for j in range(30)])) for i in range(400)] + [(1000 + i, " ".join(template + [f"own7x{j}" for j in range(29)] + [f"z{i}"])) for i in range(3)]
+    rnd.shuffle(docs)
+    got = {r.key: r.component_key for r in jaccard.join(spark.createDataFrame(docs, "doc_id long, text string"), width=1, percent=80, frequent=2).collect()}
+    assert got == {i: (7 if i >= 1000 else i) for i, _ in docs}
+
+
 def test_components(spark):
     rnd = random.Random(2)
     edges = [(i, i + 1) for i in range(0, 40)] + [(rnd.randrange(100, 160), rnd.randrange(100, 160)) for _ in range(40)] + [(500, k) for k in range(501, 560)]
