@@ -12,9 +12,9 @@ smaller set of a pair indexes for its own power of two and the next, where its p
 for a pair only if the smaller set has it within its shorter prefix. Every candidate is verified exactly.
 
 Equal sets are one node. Of the nodes that share a signature, all are compared with a hub, or with a few if they are many, and
-the links found make components. Of nodes of a signature that are then in several components, those leave that have more
-tokens of their own than any link allows, again and again, as their leaving makes more tokens others' own; what is left is
-compared in blocks of at most BLOCK, by counts of tokens in BUCKETS ranges of the hash: the sum of the smaller counts is the most that two sets
+the links found make components. Nodes of a signature that are then in several components are compared in blocks of at most BLOCK; of
+more nodes than that, those leave first that have more tokens of their own than any link allows, in rounds, as their leaving makes more tokens
+others' own. Blocks compare counts of tokens in BUCKETS ranges of the hash: the sum of the smaller counts is the most that two sets
 can share, and only pairs that could link leave the block to be verified. So nothing is lost, and neither a large group of near copies nor a
 passage that many share turns into pairs.
 
@@ -223,9 +223,10 @@ def postings(all_: DataFrame, reps: DataFrame, classes: Classes, width: int, per
 
     made = materialize(all_.where("n > 0").select("text", "hi", "lo").mapInArrow(run, "sig long, hi long, lo long, small boolean"), "jaccard-signatures")
     shared = made.groupBy("sig").agg(F.min("hi").alias("a"), F.max("hi").alias("b"), F.max("small").alias("any")).where("a <> b and any").select("sig")
-    out = made.join(shared, "sig", "left_semi").join(reps, ["hi", "lo"]).groupBy("sig", "x", "n").agg(F.max("small").alias("small"))
+    shared = materialize(shared, "jaccard-shared")  # read back, so the join below is one that Spark may split
+    out = made.join(few(shared), "sig", "left_semi").join(reps, ["hi", "lo"]).groupBy("sig", "x", "n").agg(F.max("small").alias("small"))
     out = materialize(out, "jaccard-postings")
-    discard(made)
+    discard(made, shared)
     return out
 
 
@@ -354,9 +355,7 @@ def peeled(rest: DataFrame, all_: DataFrame, width: int, percent: int, rounds: i
         if left == was:
             break
     discard(all_tokens)
-    out = materialize(rest.join(names.select("x", "solo"), "x"), "jaccard-rest")
-    discard(names)
-    return out
+    return rest.join(names.select("x", "solo"), "x")
 
 
 def between(rest: DataFrame, all_: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
@@ -429,14 +428,16 @@ def links(posts: DataFrame, all_: DataFrame, width: int, percent: int) -> DataFr
     named = posts.join(components(found), "x", "left").withColumn("c", F.coalesce("c", "x")).join(hubs, "sig")
     named = named.where(~F.array_contains("hubs", F.col("x"))).drop("hubs")  # a hub has met all others
     named = materialize(named, "jaccard-named")
-    several = named.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.max("small").alias("any")).where("c0 <> c1 and any").select("sig")
-    rest = materialize(named.join(several, "sig", "left_semi"), "jaccard-several")
-    discard(named, hubs)
-    if rest.isEmpty():
-        return found
-    rest = peeled(rest, all_, width, percent)
-    size = rest.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1")
-    out = found.unionByName(linked(verify(between(rest.join(size, "sig"), all_, percent), all_, width), percent))
+    several = named.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.max("small").alias("any"), F.count("*").alias("size"))
+    several = materialize(several.where("c0 <> c1 and any").select("sig", "size"), "jaccard-several")
+    rest = materialize(named.join(few(several), "sig"), "jaccard-rest")
+    discard(named, hubs, several)
+    left, large = rest.where(F.col("size") <= BLOCK).withColumn("solo", F.lit(0).cast("long")), rest.where(F.col("size") > BLOCK)
+    if not large.isEmpty():
+        large = peeled(large.drop("size"), all_, width, percent)
+        sizes = materialize(large.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1"), "jaccard-sizes")
+        left = left.unionByName(large.join(few(sizes), "sig"))
+    out = found.unionByName(linked(verify(between(left, all_, percent), all_, width), percent))
     discard(rest)
     return out
 

@@ -112,8 +112,9 @@ def test_blocks_and_peeling_lose_nothing(spark):
             assert (a, b) in pairs
 
 
-def test_one_template_with_own_words_each(spark):
+def test_one_template_with_own_words_each(spark, monkeypatch):
     """Many texts that share four fifths with all others and are linked with none: linear work, no pair is compared in full."""
+    monkeypatch.setattr(jaccard, "BLOCK", 50)
     rnd = random.Random(3)
     template = [f"t{i}" for i in range(170)]
     docs = [(i, " ".join(template + [f"own{i}x{j}" for j in range(30)])) for i in range(400)] + [(1000 + i, " ".join(template + [f"own7x{j}" for j in range(29)] + [f"z{i}"])) for i in range(3)]
