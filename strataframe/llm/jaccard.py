@@ -11,8 +11,9 @@ tokens of a prefix to a class), so a set has some signatures for each token it m
 smaller set of a pair indexes for its own power of two and the next, where its partner may be. A signature counts
 for a pair only if the smaller set has it within its shorter prefix. Every candidate is verified exactly.
 
-Equal sets are one node. Of the nodes that share a signature, all are compared with a hub, or with a few if they are many, and
-the links found make components. Nodes of a signature that are then in several components are compared in blocks of at most BLOCK; of
+Equal sets are one node. Of the nodes that share a signature, all are compared with a hub, or with a few if they are many, central
+ones first (those with the fewest rare tokens, as an original has among its near copies), then ones of different components; the links found make
+components. Nodes of a signature that are then in several components are compared in blocks of at most BLOCK; of
 more nodes than that, those leave first that have more tokens of their own than any link allows, in rounds, as their leaving makes more tokens
 others' own. Blocks compare counts of tokens in BUCKETS ranges of the hash: the sum of the smaller counts is the most that two sets
 can share, and only pairs that could link leave the block to be verified. So nothing is lost, and neither a large group of near copies nor a
@@ -133,9 +134,9 @@ def combined(common: np.ndarray, need: int, short: int, classes: int) -> tuple[n
         return mix((c[a] * GOLDEN + c[b]) ^ salt), inside_
 
 
-def signatures(t: np.ndarray, classes: Classes, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """What a set of sorted tokens is found by as the larger of a pair, and as the smaller: signatures, and whether each is
-    one as the smaller."""
+def signatures(t: np.ndarray, classes: Classes, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, int]:
+    """What a set of sorted tokens is found by as the larger of a pair, and as the smaller: signatures, whether each is
+    one as the smaller, and how far the set is from a centre of near copies: by rare tokens, then by tokens that are lacking."""
     n, kind = len(t), classes(t)
     long, short = missing(n, percent) + 1, missing_smaller(n, percent) + 1
     rare, common = np.concatenate([t[kind == 0], t[kind == 1]]), t[kind == 2]
@@ -147,7 +148,7 @@ def signatures(t: np.ndarray, classes: Classes, percent: int = PERCENT) -> tuple
             sig, inside = combined(common, need, near, classes_of(band, percent))
             out.append(sig)
             small.append(inside)
-    return np.concatenate(out), np.concatenate(small)
+    return np.concatenate(out), np.concatenate(small), (min(long, len(rare)) << 32) - n
 
 
 def sets(docs: DataFrame, key: str, text: str, width: int, percent: int, rest: tuple[str, ...] = ()) -> DataFrame:
@@ -198,33 +199,35 @@ def classify(all_: DataFrame, frequent: int = FREQUENT, most: int = MOST_CELLS)
 
 
 def postings(all_: DataFrame, reps: DataFrame, classes: Classes, width: int, percent: int) -> DataFrame:
-    """Written: (sig, x, n, small) for each signature that two or more nodes share, one of them as the smaller; x: the node's
+    """Written: (sig, x, n, far, small) for each signature that two or more nodes share, one of them as the smaller; x: the node's
     row; small: whether it has it as the smaller."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
         for batch in slices(batches):
             hi, lo = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            rows, sigs, small = [], [], []
+            rows, sigs, small, off = [], [], [], []
             for i, (text, node) in enumerate(zip(batch.column(0).to_pylist(), zip(hi.tolist(), lo.tolist(), strict=True), strict=True)):
                 if node not in seen:  # of a task's equal sets, one is enough
                     if len(seen) >= 200_000:
                         seen.clear()
                     seen.add(node)
-                    s, f = signatures(tokens(text, width), classes, percent)
+                    s, f, far = signatures(tokens(text, width), classes, percent)
                     rows.append((i, len(s)))
+                    off.append(np.full(len(s), far))
                     sigs.append(s)
                     small.append(f)
             at = np.repeat(*np.array(rows, np.int64).reshape(-1, 2).T)
             s, f = np.concatenate([*sigs, np.zeros(0, np.uint64)]).view(np.int64), np.concatenate([*small, np.zeros(0, bool)])
+            far = np.concatenate([*off, np.zeros(0, np.int64)])
             for k in range(0, len(s), 100_000):
                 some = at[k : k + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(s[k : k + 100_000]), pa.array(hi[some]), pa.array(lo[some]), pa.array(f[k : k + 100_000])], ["sig", "hi", "lo", "small"])
+                yield pa.RecordBatch.from_arrays([pa.array(s[k : k + 100_000]), pa.array(hi[some]), pa.array(lo[some]), pa.array(f[k : k + 100_000]), pa.array(far[k : k + 100_000])], ["sig", "hi", "lo", "small", "far"])
 
-    made = materialize(all_.where("n > 0").select("text", "hi", "lo").mapInArrow(run, "sig long, hi long, lo long, small boolean"), "jaccard-signatures")
+    made = materialize(all_.where("n > 0").select("text", "hi", "lo").mapInArrow(run, "sig long, hi long, lo long, small boolean, far long"), "jaccard-signatures")
     shared = made.groupBy("sig").agg(F.min("hi").alias("a"), F.max("hi").alias("b"), F.max("small").alias("any")).where("a <> b and any").select("sig")
     shared = materialize(shared, "jaccard-shared")  # read back, so the join below is one that Spark may split
-    out = made.join(few(shared), "sig", "left_semi").join(reps, ["hi", "lo"]).groupBy("sig", "x", "n").agg(F.max("small").alias("small"))
+    out = made.join(few(shared), "sig", "left_semi").join(reps, ["hi", "lo"]).groupBy("sig", "x", "n", "far").agg(F.max("small").alias("small"))
     out = materialize(out, "jaccard-postings")
     discard(made, shared)
     return out
@@ -411,32 +414,46 @@ def between(rest: DataFrame, all_: DataFrame, percent: int, block: int = BLOCK)
     return rows.repartition("sig", "p", "q").sortWithinPartitions("sig", "p", "q").mapInArrow(run, "a long, b long").distinct()
 
 
-def links(posts: DataFrame, all_: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) enough to connect all nodes that any links connect. A signature's hubs are its least nodes by residue of
-    a hash, of which each task knows its own; so no task holds a signature's nodes."""
-    residue = F.pmod(F.xxhash64("x"), F.lit(HUBS))
-    least = [F.min(F.when(residue == k, F.col("x"))).alias(f"h{k}") for k in range(HUBS)]
-    hubs = posts.groupBy("sig").agg(F.count("*").alias("all"), *least)
+def hubs_of(rows: DataFrame, by: str) -> DataFrame:
+    """Written: (sig, hubs), the most central nodes by residue of a hash of column `by`. Each task knows its own, so no task holds a
+    signature's nodes."""
+    residue = F.pmod(F.xxhash64(by), F.lit(HUBS))
+    central = [F.min_by("x", F.when(residue == k, F.col("far"))).alias(f"h{k}") for k in range(HUBS)]
+    hubs = rows.groupBy("sig").agg(F.count("*").alias("all"), F.min_by("x", "far").alias("one"), *central)
     each = F.array_compact(F.array(*(F.col(f"h{k}") for k in range(HUBS))))
-    hubs = materialize(hubs.select("sig", F.when(F.col("all") > CROWD, each).otherwise(F.array(F.array_min(each))).alias("hubs")), "jaccard-hubs-of")
-    sizes = posts.select(F.col("x").alias("a"), F.col("n").alias("m")).distinct()
-    near = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-    star = posts.select("sig", "x", "n").join(hubs, "sig").select("x", "n", "hubs", F.explode("hubs").alias("a"))
-    star = star.where((F.col("x") > F.col("a")) | ((F.col("x") < F.col("a")) & ~F.array_contains("hubs", F.col("x")))).select("a", "x", "n").distinct()
-    star = star.join(sizes, "a").where(near).select("a", F.col("x").alias("b"))
-    found = linked(verify(likely(star, all_, percent), all_, width), percent)
-    named = posts.join(components(found), "x", "left").withColumn("c", F.coalesce("c", "x")).join(hubs, "sig")
-    named = named.where(~F.array_contains("hubs", F.col("x"))).drop("hubs")  # a hub has met all others
-    named = materialize(named, "jaccard-named")
-    several = named.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.max("small").alias("any"), F.count("*").alias("size"))
-    several = materialize(several.where("c0 <> c1 and any").select("sig", "size"), "jaccard-several")
-    rest = materialize(named.join(few(several), "sig"), "jaccard-rest")
-    discard(named, hubs, several)
+    return materialize(hubs.select("sig", F.when(F.col("all") > CROWD, each).otherwise(F.array("one")).alias("hubs")), "jaccard-hubs-of")
+
+
+def links(posts: DataFrame, all_: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) enough to connect all nodes that any links connect: first from hubs that are any of a signature's nodes, then
+    from ones of different components, then between what is left."""
+    sizes = materialize(posts.select(F.col("x").alias("a"), F.col("n").alias("m")).distinct(), "jaccard-sizes")
+    rest, found = posts.withColumn("c", F.col("x")), None
+    for by in ("x", "c"):
+        hubs = hubs_of(rest, by)
+        star = rest.select("sig", "x", "n", "c").join(hubs, "sig").select("x", "n", "hubs", F.explode("hubs").alias("a"))
+        star = star.where((F.col("x") > F.col("a")) | ((F.col("x") < F.col("a")) & ~F.array_contains("hubs", F.col("x")))).select("a", "x", "n").distinct()
+        near = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+        star = star.join(sizes, "a").where(near).select("a", F.col("x").alias("b"))
+        if found is not None:
+            ends = comp.select(F.col("x").alias("a"), F.col("c").alias("ca")), comp.select(F.col("x").alias("b"), F.col("c").alias("cb"))
+            star = star.join(ends[0], "a", "left").join(ends[1], "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+        now = linked(verify(likely(star, all_, percent), all_, width), percent)
+        found = now if found is None else found.unionByName(now)
+        comp = components(found)
+        named = rest.drop("c", "size").join(comp, "x", "left").withColumn("c", F.coalesce("c", "x")).join(hubs, "sig")
+        named = materialize(named.where(~F.array_contains("hubs", F.col("x"))).drop("hubs"), "jaccard-named")  # a hub has met all others
+        several = named.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.max("small").alias("any"), F.count("*").alias("size"))
+        several = materialize(several.where("c0 <> c1 and any").select("sig", "size"), "jaccard-several")
+        rest = materialize(named.join(few(several), "sig").select("sig", "x", "n", "far", "small", "c", "size"), "jaccard-rest")
+        discard(named, hubs, several)
+        if rest.isEmpty():
+            return found
     left, large = rest.where(F.col("size") <= BLOCK).withColumn("solo", F.lit(0).cast("long")), rest.where(F.col("size") > BLOCK)
     if not large.isEmpty():
         large = peeled(large.drop("size"), all_, width, percent)
-        sizes = materialize(large.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1"), "jaccard-sizes")
-        left = left.unionByName(large.join(few(sizes), "sig"))
+        crowd = materialize(large.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1"), "jaccard-crowd")
+        left = left.unionByName(large.join(few(crowd), "sig"))
     out = found.unionByName(linked(verify(between(left, all_, percent), all_, width), percent))
     discard(rest)
     return out

@@ -80,7 +80,7 @@ def test_linked_sets_share_a_signature(percent):
         kind = dict(zip(known.tolist(), rng.choice([0, 1, 2], len(known), p=[(1 - share) / 2, (1 - share) / 2, share]).tolist()))
         classes = lambda t: np.array([kind[x] for x in t.tolist()], np.int8)  # noqa: E731, B023
         small, large = sorted((a, b), key=len)
-        (s, inside), (o, _) = jaccard.signatures(small, classes, percent), jaccard.signatures(large, classes, percent)
+        (s, inside, _), (o, *_) = jaccard.signatures(small, classes, percent), jaccard.signatures(large, classes, percent)
         assert len(np.intersect1d(s[inside], o)), (len(a), len(b), both, share)
     for n in (1000, 10_000, 100_000):
         t = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
