@@ -12,7 +12,7 @@ smaller set of a pair indexes for its own power of two and the next, where its p
 for a pair only if the smaller set has it within its shorter prefix. Every candidate is verified exactly.
 
 Equal sets are one node. Of the nodes that share a signature, all are compared with a hub, or with a few if they are many, central
-ones first (those with the fewest rare tokens, as an original has among its near copies), then ones of different components; the links found make
+ones among them (those with the fewest rare tokens, as an original has among its near copies), then with ones of different components; the links found make
 components. Nodes of a signature that are then in several components are compared in blocks of at most BLOCK; of
 more nodes than that, those leave first that have more tokens of their own than any link allows, in rounds, as their leaving makes more tokens
 others' own. Blocks compare counts of tokens in BUCKETS ranges of the hash: the sum of the smaller counts is the most that two sets
@@ -390,12 +390,17 @@ def between(rest: DataFrame, all_: DataFrame, percent: int, block: int = BLOCK)
         return np.minimum(a, b), np.maximum(a, b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, seen = None, set()
 
         def made(key: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
             starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
             out = [pairs(*(v[a:b] for v in columns)) for a, b in zip(starts, [*starts[1:], len(key)], strict=True) if b - a > 1]
             code = np.unique(np.concatenate([np.stack(x, axis=1) for x in out] or [np.zeros((0, 2), np.int64)]), axis=0)
+            known = list(map(tuple, code.tolist()))
+            code = code[np.array([x not in seen for x in known], bool)]  # most pairs share several signatures
+            if len(seen) > 300_000:
+                seen.clear()
+            seen.update(known)
             return pa.RecordBatch.from_arrays([pa.array(code[:, 0]), pa.array(code[:, 1])], ["a", "b"])
 
         for batch in slices(batches, 2048):
@@ -415,11 +420,11 @@ def between(rest: DataFrame, all_: DataFrame, percent: int, block: int = BLOCK)
 
 
 def hubs_of(rows: DataFrame, by: str) -> DataFrame:
-    """Written: (sig, hubs), the most central nodes by residue of a hash of column `by`. Each task knows its own, so no task holds a
-    signature's nodes."""
-    residue = F.pmod(F.xxhash64(by), F.lit(HUBS))
-    central = [F.min_by("x", F.when(residue == k, F.col("far"))).alias(f"h{k}") for k in range(HUBS)]
-    hubs = rows.groupBy("sig").agg(F.count("*").alias("all"), F.min_by("x", "far").alias("one"), *central)
+    """Written: (sig, hubs), nodes (x, c) by residue of a hash of column `by`: the first ones, and for half of the residues the most
+    central ones. Each task knows its own, so no task holds a signature's nodes."""
+    residue, node = F.pmod(F.xxhash64(by), F.lit(HUBS)), F.struct("x", "c")
+    some = [F.min_by(node, F.when(residue == k, F.col("x" if k % 2 else "far"))).alias(f"h{k}") for k in range(HUBS)]
+    hubs = rows.groupBy("sig").agg(F.count("*").alias("all"), F.min_by(node, F.col("x")).alias("one"), *some)
     each = F.array_compact(F.array(*(F.col(f"h{k}") for k in range(HUBS))))
     return materialize(hubs.select("sig", F.when(F.col("all") > CROWD, each).otherwise(F.array("one")).alias("hubs")), "jaccard-hubs-of")
 
@@ -431,18 +436,16 @@ def links(posts: DataFrame, all_: DataFrame, width: int, percent: int) -> DataFr
     rest, found = posts.withColumn("c", F.col("x")), None
     for by in ("x", "c"):
         hubs = hubs_of(rest, by)
-        star = rest.select("sig", "x", "n", "c").join(hubs, "sig").select("x", "n", "hubs", F.explode("hubs").alias("a"))
-        star = star.where((F.col("x") > F.col("a")) | ((F.col("x") < F.col("a")) & ~F.array_contains("hubs", F.col("x")))).select("a", "x", "n").distinct()
+        star = rest.select("sig", "x", "n", "c").join(hubs, "sig").select("x", "n", "c", F.col("hubs.x").alias("all"), F.explode("hubs").alias("h"))
+        other = (F.col("x") > F.col("h.x")) | ((F.col("x") < F.col("h.x")) & ~F.array_contains("all", F.col("x")))
+        star = star.where((F.col("c") != F.col("h.c")) & other).select(F.col("h.x").alias("a"), "x", "n").distinct()
         near = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
         star = star.join(sizes, "a").where(near).select("a", F.col("x").alias("b"))
-        if found is not None:
-            ends = comp.select(F.col("x").alias("a"), F.col("c").alias("ca")), comp.select(F.col("x").alias("b"), F.col("c").alias("cb"))
-            star = star.join(ends[0], "a", "left").join(ends[1], "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
         now = linked(verify(likely(star, all_, percent), all_, width), percent)
         found = now if found is None else found.unionByName(now)
         comp = components(found)
         named = rest.drop("c", "size").join(comp, "x", "left").withColumn("c", F.coalesce("c", "x")).join(hubs, "sig")
-        named = materialize(named.where(~F.array_contains("hubs", F.col("x"))).drop("hubs"), "jaccard-named")  # a hub has met all others
+        named = materialize(named.where(~F.array_contains("hubs.x", F.col("x"))).drop("hubs"), "jaccard-named")  # a hub has met all others
         several = named.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.max("small").alias("any"), F.count("*").alias("size"))
         several = materialize(several.where("c0 <> c1 and any").select("sig", "size"), "jaccard-several")
         rest = materialize(named.join(few(several), "sig").select("sig", "x", "n", "far", "small", "c", "size"), "jaccard-rest")
