@@ -49,6 +49,8 @@ FREQUENT, PER_TASK, CLASS = 8, 128, 2
 MOST_CELLS, PART, BLOCK, BUCKETS = 1 << 27, 1 << 15, 1024, 256
 #: Hubs of a signature of more than CROWD nodes; any other has one. Rounds in which nodes with many own tokens leave.
 HUBS, CROWD, BROADCAST_ROWS, PEELS = 8, 16, 500_000, 4
+#: A node's least signatures that tell where a pair of nodes first meets, and what stands for none.
+FIRST, NONE = 16, (1 << 63) - 1
 
 
 def tokens(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -364,13 +366,15 @@ def peeled(rest: DataFrame, all_: DataFrame, width: int, percent: int, rounds: i
 def between(rest: DataFrame, all_: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
     """rest: (sig, x, n, small, c, solo, size). Pairs (a, b) of nodes that share a signature, which the smaller has as such, are in
     different components c and could link. A signature of more than `block` nodes is cut into parts, and each two parts meet in
-    a task of their own."""
+    a task of their own. A pair leaves at its least common signature, which the nodes' FIRST least ones tell if they have
+    any in common; other pairs may leave several times."""
+    first = materialize(rest.groupBy("x").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, FIRST).alias("first")), "jaccard-first")
     parts = F.ceil(F.col("size") / block).cast("int")
-    rows = rest.join(all_.select(F.col("row").alias("x"), "sketch"), "x").withColumn("part", F.pmod(F.xxhash64("x"), parts).cast("int"))
+    rows = rest.join(all_.select(F.col("row").alias("x"), "sketch"), "x").join(first, "x").withColumn("part", F.pmod(F.xxhash64("x"), parts).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    rows = rows.select("sig", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "x", "c", "n", "solo", F.col("small").cast("long").alias("small"), "sketch")
+    rows = rows.select("sig", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "x", "c", "n", "solo", F.col("small").cast("long").alias("small"), "sketch", "first")
 
-    def pairs(part: np.ndarray, x: np.ndarray, c: np.ndarray, n: np.ndarray, solo: np.ndarray, small: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(sig: int, part: np.ndarray, x: np.ndarray, c: np.ndarray, n: np.ndarray, solo: np.ndarray, small: np.ndarray, k: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         one = np.flatnonzero(part == part.min())
         two = one if (part == part[0]).all() else np.flatnonzero(part != part.min())
         found = []
@@ -385,26 +389,27 @@ def between(rest: DataFrame, all_: DataFrame, percent: int, block: int = BLOCK)
             else:
                 fits = np.concatenate([could(k[some[i[h : h + 4096]]], k[two[j[h : h + 4096]]], percent) for h in range(0, len(i), 4096)] or [np.zeros(0, bool)])
                 i, j = i[fits], j[fits]
+            own = np.ones(len(i), bool)
+            for h in range(0, len(i), 4096):
+                a, b = low[some[i[h : h + 4096]]], low[two[j[h : h + 4096]]]
+                both = (a[:, :, None] == b[:, None]).any(axis=2) & (a != NONE)
+                own[h : h + 4096] = np.where(both.any(axis=1), np.where(both, a, NONE).min(axis=1) == sig, True)
+            i, j = i[own], j[own]
             found.append(np.stack([x[some[i]], x[two[j]]]))
         a, b = np.concatenate(found, axis=1)
         return np.minimum(a, b), np.maximum(a, b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, seen = None, set()
+        held = None
 
         def made(key: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
             starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
-            out = [pairs(*(v[a:b] for v in columns)) for a, b in zip(starts, [*starts[1:], len(key)], strict=True) if b - a > 1]
+            out = [pairs(key[a, 0], *(v[a:b] for v in columns)) for a, b in zip(starts, [*starts[1:], len(key)], strict=True) if b - a > 1]
             code = np.unique(np.concatenate([np.stack(x, axis=1) for x in out] or [np.zeros((0, 2), np.int64)]), axis=0)
-            known = list(map(tuple, code.tolist()))
-            code = code[np.array([x not in seen for x in known], bool)]  # most pairs share several signatures
-            if len(seen) > 300_000:
-                seen.clear()
-            seen.update(known)
             return pa.RecordBatch.from_arrays([pa.array(code[:, 0]), pa.array(code[:, 1])], ["a", "b"])
 
         for batch in slices(batches, 2048):
-            now = [np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)], axis=1), *(batch.column(i).to_numpy() for i in range(3, 9)), sketched(batch.column(9))]
+            now = [np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)], axis=1), *(batch.column(i).to_numpy() for i in range(3, 9)), sketched(batch.column(9)), np.array([r + [NONE] * (FIRST - len(r)) for r in batch.column(10).to_pylist()], np.int64).reshape(-1, FIRST)]
             if held is not None:
                 now = [np.concatenate(x) for x in zip(held, now, strict=True)]
             if not len(now[0]):
