@@ -48,7 +48,7 @@ FREQUENT, PER_TASK, CLASS = 8, 128, 2
 #: Bits of a bitmap at most, and of a part of it; rows of a block; hash ranges of a sketch.
 MOST_CELLS, PART, BLOCK, BUCKETS = 1 << 27, 1 << 15, 1024, 256
 #: Hubs of a signature of more than CROWD nodes; any other has one. Rounds in which nodes with many own tokens leave.
-HUBS, CROWD, BROADCAST_ROWS, PEELS = 8, 16, 500_000, 4
+HUBS, CROWD, BROADCAST_ROWS, PEELS = 4, 16, 500_000, 4
 #: A node's least signatures that tell where a pair of nodes first meets, and what stands for none.
 FIRST, NONE = 16, (1 << 63) - 1
 
