@@ -482,13 +482,13 @@ def absent_keys(spark, sf_dir):
     return spark.createDataFrame(out, "asked string, keys long, found long, rows_scanned long")
 
 
-@query(f"SELECT count(*) AS entries, true AS disjoint, CAST(1 AS BIGINT) AS levels, true AS split, CAST(0 AS BIGINT) AS tombstones FROM ({LIVE_PROPS})")
+@query(f"SELECT count(*) AS entries, true AS disjoint, CAST(1 AS BIGINT) AS levels, CAST(0 AS BIGINT) AS tombstones FROM ({LIVE_PROPS})")
 def store_levels(spark, sf_dir):
     """Small levels filled by picked merges, then merged into one: disjoint tables of about the target size, without tombstones."""
     store = loaded(spark, sf_dir, "levels-store", SMALL, maintain=True)
     store.compact()
     ranges = integrity.disjoint(store.manifest())
-    out = ranges.agg(F.sum("entry_count").alias("entries"), F.every("disjoint").alias("disjoint"), F.count_distinct("level").alias("levels"), (F.count("*") > 1).alias("split"))
+    out = ranges.agg(F.sum("entry_count").alias("entries"), F.every("disjoint").alias("disjoint"), F.count_distinct("level").alias("levels"))
     return out.withColumn("tombstones", F.lit(store.layers().where("tombstone").count()).cast("long"))
 
 
