@@ -150,6 +150,59 @@ def test_pairwise_fit_by_brute_force():
     assert r.threshold == pytest.approx((s[cut - 1] + s[cut]) / 2, abs=1e-6)
 
 
+def pair_loss(r, x, good, w, l2=1e-3):
+    """Mean loss and gradient over all pairs, pair by pair."""
+    b = np.clip(r.basis(x), -20, 20)
+    s = b @ w
+    d = s[~good][None] - s[good][:, None]
+    p = 1 / (1 + np.exp(-d)) / d.size
+    return np.logaddexp(0, d).mean() + l2 / 2 * w @ w, p.sum(axis=0) @ b[~good] - p.sum(axis=1) @ b[good] + l2 * w
+
+
+def test_all_pairs_by_brute_force():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(90, 3)).astype(np.float32)
+    good = x @ np.array([1.0, -2.0, 0.5]) + rng.normal(size=90) > 0
+    r = quality.fit(x, good)
+    assert np.allclose(r.knots, np.quantile(x.astype(float), quality.KNOTS, axis=0), atol=1e-6)
+    w = np.zeros_like(r.weights)
+    for _ in range(20000):
+        w -= 0.2 * pair_loss(r, x, good, w)[1]
+    best = pair_loss(r, x, good, w)[0]
+    assert best - 1e-6 <= pair_loss(r, x, good, r.weights)[0] <= best * 1.002
+    s = np.sort(np.clip(r.basis(x), -20, 20) @ r.weights)
+    cut = int((~good).sum())
+    assert s[cut - 1] <= r.threshold <= s[cut]
+
+
+def test_every_labelled_row_teaches(spark):
+    """More rows than the 20,000 that taught before: the table's model is that of all rows in memory."""
+    rng = np.random.default_rng(2)
+    words = ["the", "of", "Cat", "dogs", "###", "a1", "xyz.", "THE", "\n", "e"]
+    texts = [" ".join(rng.choice(words, 1 + i % 7)) for i in range(21_000)]
+    good = [(t.count("e") + i % 3) > 2 for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(g)) for i, g in enumerate(good)], "doc_id long, quality int")
+    blocks = quality.labelled(quality.featured(docs), labels).collect()
+    assert sum(len(b.preferred) for b in blocks) == 21_000 and len({b.block for b in blocks}) == len(blocks) > 5
+    one, two = quality.train(docs, labels), quality.fit(np.array([quality.features(t) for t in texts]), np.array(good))
+    assert np.array_equal(one.knots, two.knots) and np.allclose(one.mean, two.mean) and np.allclose(one.weights, two.weights, atol=1e-3)
+    assert one.threshold == pytest.approx(two.threshold, abs=1e-2)
+
+
+def test_places(spark):
+    from strataframe.llm.common import at_places
+
+    rng = np.random.default_rng(1)
+    values = {"a": [*rng.normal(size=900), 1e9, -1e9], None: [3.0] * 50 + [4.0], "b": [0.25]}
+    rows = [(g, float(v)) for g, x in values.items() for v in x]
+    places = lambda n: [0, 0.37 * (n - 1), n / 2, n - 1]
+    got = at_places(spark.createDataFrame(rows, "g string, v double").repartition(3), ["g"], places)
+    for g, x in values.items():
+        assert np.allclose(got[g,], np.interp(places(len(x)), np.arange(len(x)), np.sort(x)), rtol=1e-12, atol=0)
+    assert at_places(spark.createDataFrame([], "g string, v double"), ["g"], places) == {}
+
+
 def test_languages_change_inside_runs(spark):
     learn = [(i, t, x) for i, (t, x) in enumerate([("the cat and the dog were there with them", "en"), ("日本語の文章です", "ja"), ("кот и собаки были там", "ru")] * 5)]
     model = langid.train(spark.createDataFrame(learn, "doc_id long, text string, lang string"))
