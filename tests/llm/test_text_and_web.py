@@ -165,6 +165,21 @@ def test_rules_don_t_depend_on_partitions(spark, sf):
     assert one and one == two
 
 
+def test_every_text_fits_the_bands(spark):
+    """More texts than the 20,000 that fitted before: bands are the quantiles of all, those of languages and of scripts."""
+    rnd = __import__("random").Random(3)
+    words = ["".join(rnd.choice("aeioubcdfgklmnprst") for _ in range(rnd.randint(1, 9))) for _ in range(300)]
+    texts = [" ".join(rnd.sample(words, 12)) for _ in range(20_600)]
+    df = spark.createDataFrame([(t, "x" if i % 4 else None) for i, t in enumerate(texts)], "text string, lang string")
+    bands = rules.fit(df.unionByName(df.limit(500)).repartition(4), VOCAB, lang="lang")
+    assert set(bands) == {("latin", "x"), ("latin", None)}
+    out = rules.measure(texts, rules.vocabularies(*VOCAB))
+    assert not out["base_failed"].any() and len(set(texts)) == len(texts)
+    for lang, own in (("x", np.arange(len(texts)) % 4 > 0), (None, np.ones(len(texts), bool))):
+        quantiles = np.quantile([out[c][own] for c in rules.MEASURES], (rules.TAIL, 0.5, 1 - rules.TAIL), axis=1)
+        assert np.allclose(bands["latin", lang], rules.band_of(*quantiles), rtol=1e-12, atol=1e-12)
+
+
 def test_rules_odd_rows(spark):
     texts = [*ODD, (8, "q w e r t a b c d f g h " + "\U0001f600" * 60, 1), (9, "one two three four five six seven eight nine ten eleven twelve and so on with more of the same sort", 1)]
     df = spark.createDataFrame([(*r, True) for r in texts], "doc_id long, text string, n_words int, kept boolean")
