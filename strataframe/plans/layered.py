@@ -20,6 +20,7 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Callable, Iterable
+from itertools import accumulate
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -358,8 +359,9 @@ class LayeredStore:
     # -- compaction
 
     def pick(self, force: bool = False) -> tuple[int, list[dict]] | None:
-        """The level and tables to merge down: a full level 0, else the shallowest level over its budget (one table, after
-        the level's cursor); forced: all of the shallowest level with tables."""
+        """The level and tables to merge down: a full level 0, else the shallowest level over its budget (the tables after the
+        level's cursor, as many as are over, in one merge; beyond the level's end the next merge begins anew); forced: all of the
+        shallowest level with tables."""
         levels, o = self.state["levels"], self.options
         if len({t["id"] for t in levels[0]}) >= o.l0_trigger or (force and levels[0]):
             return 0, levels[0]
@@ -368,9 +370,11 @@ class LayeredStore:
                 continue
             if force and any(levels[k + 1 :]):
                 return k, level
-            if not force and sum(t["size"] for t in level) > level_budget(k, o.level_base_bytes, o.level_multiplier):
-                after = [t for t in level if t["low"] > self.state["cursors"].get(str(k), "")]
-                return k, [(after or level)[0]]
+            excess = sum(t["size"] for t in level) - level_budget(k, o.level_base_bytes, o.level_multiplier)
+            if not force and excess > 0:
+                after = [t for t in level if t["low"] > self.state["cursors"].get(str(k), "")] or level
+                sums = list(accumulate(t["size"] for t in after))
+                return k, after[: bisect.bisect_left(sums, excess) + 1]
         return None
 
     def step(self, force: bool = False) -> bool:
@@ -380,15 +384,19 @@ class LayeredStore:
         if not picked:
             return False
         level, inputs = picked
+        low, high = min(t["low"] for t in inputs), max(t["high"] for t in inputs)
+        below = self.state["levels"][level + 1] if level + 1 < len(self.state["levels"]) else []
+        self._merge(inputs + [t for t in below if overlap(t, low, high)], level + 1, {str(level): high})
+        return True
+
+    def _merge(self, merged: list[dict], to: int, cursors: dict[str, str]) -> None:
+        """Replaces tables of levels up to `to`, all that overlap each other there, by the newest rows of their keys in that level."""
         state = self._next()
-        while len(state["levels"]) < level + 2:
+        while len(state["levels"]) < to + 1:
             state["levels"].append([])
-        low, high = min(t["low"] for t in inputs), max(t["high"] for t in inputs)
-        below = [t for t in state["levels"][level + 1] if overlap(t, low, high)]
-        merged = inputs + below
         rows = self.spark.read.schema(LAYER).parquet(*(f"{self.root}/{t['path']}" for t in merged)).withColumn("_rank", -F.col("level"))
         rows = latest(rows, seq=["_rank", "table_id"], mode=Tombstones.EMIT)
-        deeper = [(bytearray.fromhex(t["low"]), bytearray.fromhex(t["high"])) for d in state["levels"][level + 2 :] for t in d]
+        deeper = [(bytearray.fromhex(t["low"]), bytearray.fromhex(t["high"])) for d in state["levels"][to + 1 :] for t in d]
         if deeper:  # a tombstone goes once no deeper table may hold its key
             ranges = self.spark.createDataFrame(deeper, "min_key binary, max_key binary")
             needless = droppable(rows.where("tombstone").select("key"), ranges)
@@ -396,17 +404,16 @@ class LayeredStore:
         else:
             rows = rows.where("not tombstone")
         size = sum(t["size"] for t in merged)
-        made = self._write_tables(rows, level + 1, state, size)
+        made = self._write_tables(rows, to, state, size)
         gone = {t["path"] for t in merged}
         state["levels"] = [[t for t in lv if t["path"] not in gone] for lv in state["levels"]]
-        state["levels"][level + 1] = sorted(state["levels"][level + 1] + made, key=lambda t: t["low"])
-        state["cursors"][str(level)] = high
+        state["levels"][to] = sorted(state["levels"][to] + made, key=lambda t: t["low"])
+        state["cursors"].update(cursors)
         self.counters["compactions"] += 1
         self.counters["tables_obsoleted"] += len(merged)
         self.counters["compaction_bytes_read"] += size
         self.counters["compaction_bytes_written"] += sum(t["size"] for t in made)
         self._commit(state)
-        return True
 
     def maintain(self) -> int:
         """Steps that are due, until none is."""
@@ -416,13 +423,14 @@ class LayeredStore:
         return n
 
     def compact(self) -> int:
-        """Merges everything into one level; with nothing to do, does nothing."""
-        n = 0
-        while sum(map(bool, self.state["levels"])) > 1 or self.state["levels"][0]:
-            if not self.step(force=True):
-                break
-            n += 1
-        return n
+        """Merges everything into the deepest level with tables, below level 0, in one step; with nothing to do, does nothing."""
+        levels = self.state["levels"]
+        held = [k for k, level in enumerate(levels) if level]
+        if not held or held == [max(1, held[0])]:
+            return 0
+        self._writes()
+        self._merge([t for level in levels for t in level], max(1, held[-1]), {})
+        return 1
 
     # -- accounting
 

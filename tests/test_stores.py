@@ -1,5 +1,6 @@
 """The store contract, layers, compaction, crashes and recovery, against a dict."""
 
+import hashlib
 import random
 
 import pytest
@@ -137,6 +138,23 @@ def test_compaction_keeps_answers_and_drops_tombstones(spark, tmp_path):
     assert s.get(b"after")[1] == b"1"
 
 
+def test_merges_take_as_many_tables_as_a_level_is_over(spark, tmp_path):
+    """The number of merges follows the levels, not the tables; and all levels at once become one."""
+    s = filled(spark, tmp_path, l0_trigger=1, level_base_bytes=20_000, level_multiplier=2, target_table_bytes=8_000)
+    log = lambda k: spark.range(0, 3_000, k).selectExpr("encode(format_string('key%05d', id), 'UTF-8') AS key", f"{k} AS seq", f"{k} > 1 AND id % 2 = 0 AS tombstone", f"encode(IF({k} > 1 AND id % 2 = 0, NULL, concat(md5(string(id)), '-{k}')), 'UTF-8') AS value")
+    for k in (1, 3):
+        s.apply(log(k))
+        assert 2 < s.maintain() <= 2 * s.level_count()
+        assert all(s.level_bytes(n) <= 20_000 * 2 ** (n - 1) for n in range(1, s.level_count() + 1) if n < s.options.max_levels - 1)
+    assert s.level_count() >= 3 and s.table_count() > 4 * s.level_count()
+    want = {f"key{i:05d}".encode(): f"{hashlib.md5(str(i).encode()).hexdigest()}-{1 if i % 3 else 3}".encode() for i in range(3_000) if i % 6}
+    assert dict(s.iterator()) == want
+    assert s.compact() == 1 and s.level_count() == 1 and s.compact() == 0
+    assert dict(s.iterator()) == want and s.layers().count() == len(want)
+    levels = s.manifest().orderBy("min_key").collect()
+    assert all(a.max_key < b.min_key for a, b in zip(levels, levels[1:]))
+
+
 @pytest.mark.parametrize("step", ["tables_written", "before_commit", "committed"])
 def test_crash_in_compaction(spark, tmp_path, step):
     s = filled(spark, tmp_path, l0_trigger=2)
